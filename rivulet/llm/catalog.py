@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import decontam, dedup, mixing, perplexity
+from rivulet.llm import chat, decontam, dedup, licenses, mixing, perplexity, secrets
 from rivulet.llm.runtime import table
 
 
@@ -26,6 +26,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op3_tensored_minhash, op4_winnowing, op5_mixing)}
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op4_winnowing": decontam.ORACLE, "op5_mixing": mixing.ORACLE}
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.formatted(chat.with_conflict(table(spark, sf_dir, "conversations"))))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op3_tensored_minhash, op4_winnowing, op5_mixing, op6_licenses, op8_chat, op9_secrets)}
+
+ORACLES: dict[str, str] = {"op4_winnowing": decontam.ORACLE, "op5_mixing": mixing.ORACLE, "op6_licenses": licenses.oracle(), "op8_chat": chat.ORACLE}
