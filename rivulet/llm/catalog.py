@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import chat, decontam, dedup, licenses, mixing, perplexity, secrets
+from rivulet.llm import chat, decontam, dedup, licenses, mixing, perplexity, privacy, secrets, toxicity
 from rivulet.llm.runtime import table
 
 
@@ -14,6 +14,10 @@ def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.surrogates(table(spark, sf_dir, "documents"))
+
+
 def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op3_tensored_minhash, op4_winnowing, op5_mixing, op6_licenses, op8_chat, op9_secrets)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_surrogates, op3_tensored_minhash, op4_winnowing, op5_mixing, op6_licenses, op8_chat, op9_secrets, op10_toxicity)}
 
 ORACLES: dict[str, str] = {"op4_winnowing": decontam.ORACLE, "op5_mixing": mixing.ORACLE, "op6_licenses": licenses.oracle(), "op8_chat": chat.ORACLE}
