@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import chat, decontam, dedup, licenses, mixing, perplexity, privacy, secrets, toxicity
+from rivulet.llm import chat, decontam, dedup, licenses, lmscore, mixing, perplexity, privacy, secrets, toxicity
 from rivulet.llm.runtime import table
 
 
@@ -34,6 +34,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.likelihoods(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(chat.with_conflict(table(spark, sf_dir, "conversations"))))
 
@@ -46,6 +50,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_surrogates, op3_tensored_minhash, op4_winnowing, op5_mixing, op6_licenses, op8_chat, op9_secrets, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_surrogates, op3_tensored_minhash, op4_winnowing, op5_mixing, op6_licenses, op7_gru, op8_chat, op9_secrets, op10_toxicity)}
 
 ORACLES: dict[str, str] = {"op4_winnowing": decontam.ORACLE, "op5_mixing": mixing.ORACLE, "op6_licenses": licenses.oracle(), "op8_chat": chat.ORACLE}
