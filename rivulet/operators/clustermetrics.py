@@ -204,15 +204,15 @@ def concentration(counts: DataFrame) -> DataFrame:
     return row.withColumn("normalized_entropy", F.col("entropy") / F.log("k")).withColumn("effective_number_of_clusters", F.exp("entropy")).withColumn("effective_clusters_ratio", F.exp("entropy") / F.col("k"))
 
 
-#: Flag, statistic, threshold, comparison, and the number of clusters beyond which it applies.
+# Flag, statistic, threshold, comparison, and the number of clusters beyond which it applies.
 FLAGS = (
-    ("dominant_cluster", "max_cluster_fraction", 0.5, "ge", 0),
+    ("dominant_cluster", "max_cluster_fraction", 0.9, "ge", 0),
     ("low_entropy", "normalized_entropy", 0.5, "lt", 0),
-    ("low_effective_ratio", "effective_clusters_ratio", 0.3, "lt", 0),
-    ("top5_concentration", "top5_cluster_fraction", 0.9, "ge", 5),
-    ("top10_concentration", "top10_cluster_fraction", 0.98, "ge", 10),
-    ("microclusters_lt10", "fraction_clusters_lt10", 0.1, "ge", 0),
-    ("microclusters_lt100", "fraction_clusters_lt100", 0.25, "ge", 0),
+    ("low_effective_ratio", "effective_clusters_ratio", 0.25, "lt", 0),
+    ("top5_concentration", "top5_cluster_fraction", 0.95, "ge", 5),
+    ("top10_concentration", "top10_cluster_fraction", 0.99, "ge", 10),
+    ("microclusters_lt10", "fraction_clusters_lt10", 0.5, "ge", 0),
+    ("microclusters_lt100", "fraction_clusters_lt100", 0.5, "ge", 0),
     ("microclusters_lt1000", "fraction_clusters_lt1000", 0.5, "ge", 0),
 )
 
