@@ -57,6 +57,9 @@ def _bracketed(x: DataFrame, share: float) -> float | None:
 
 def value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """(column, value, n) of several columns as text in one pass; nulls don't count."""
+    columns = list(columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
     pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
     return df.select(F.explode(pairs).alias("x")).select("x.*").filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
 
