@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.runtime import buffers, crc_mod, packs, tune
+from rivulet.llm.runtime import buffers, crc_mod, tune
 
 BITS = 5
 GRAM = 4
@@ -117,16 +117,27 @@ def _pad(svm: Svm) -> np.ndarray:
     return np.full(svm.width, SPACE, np.uint8)
 
 
-def worst_windows(rows: list[np.ndarray], beta: np.ndarray, svm: Svm) -> tuple[np.ndarray, np.ndarray]:
-    """Each folded text's highest decision, and where that window begins."""
+def worst_windows(rows: list[np.ndarray], beta: np.ndarray, svm: Svm, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Each folded text's highest decision, and where that window begins.
+
+    Texts are scored together up to so many letters at a time, which bounds the memory.
+    """
     pad = _pad(svm)
-    first = np.cumsum([0] + [len(r) + len(pad) for r in rows])[:-1]
-    scores = window_scores(np.concatenate([x for r in rows for x in (r, pad)]), beta, svm)
     best, where = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
-    for i, (lo, r) in enumerate(zip(first.tolist(), rows)):
-        own = scores[lo : lo + max(1, len(r))]
-        where[i] = int(own.argmax())
-        best[i] = own[where[i]]
+    lo = 0
+    while lo < len(rows):
+        hi, size = lo, 0
+        while hi < len(rows) and (hi == lo or size + len(rows[hi]) <= most):
+            size += len(rows[hi])
+            hi += 1
+        scores = window_scores(np.concatenate([x for r in rows[lo:hi] for x in (r, pad)]), beta, svm)
+        at = 0
+        for i in range(lo, hi):
+            own = scores[at : at + max(1, len(rows[i]))]
+            where[i] = int(own.argmax())
+            best[i] = own[where[i]]
+            at += len(rows[i]) + len(pad)
+        lo = hi
     return best, where
 
 
@@ -199,8 +210,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, svm: Svm = Svm()) -> Machin
     odds = np.log((seen[1] + 0.1) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
     beta = np.where((seen[1] >= 4) & (odds > 1.0), odds, 0).astype(np.float32)
     pad = _pad(svm)
-    padded = [np.concatenate([r, pad]) for r in rows]
-    cut = lambda i, at: padded[i][at : at + svm.width]
+    cut = lambda i, at: np.concatenate([rows[i][at : at + svm.width], pad])[: svm.width]
     yes, no = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     hard: list[np.ndarray] = []
     for _ in range(svm.rounds):
@@ -267,10 +277,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, svm: Svm = Svm()) -> DataFrame:
         machine = held.value
         for batch in batches:
             data, at = buffers(batch.column("text"))
-            best: list[np.ndarray] = []
-            for lo, hi in packs(batch.column("text"), 1 << 19):
-                best.append(worst_windows([folded(data[at[i] : at[i + 1]]) for i in range(lo, hi)], machine.beta, svm)[0])
-            score = machine.chance(np.concatenate(best)) if best else np.zeros(0)
+            score = machine.chance(worst_windows([folded(data[lo:hi]) for lo, hi in zip(at[:-1], at[1:])], machine.beta, svm)[0])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= svm.threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (crc_mod(F.col("doc_id"), svm.modulus) == svm.held_out).alias("held_out"), "text")
