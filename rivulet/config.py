@@ -90,3 +90,15 @@ def from_mapping(values: dict) -> Config:
 
 def load(path: str | Path) -> Config:
     return from_mapping(yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {})
+
+
+def require(cfg: Config, frozen: dict) -> None:
+    """ValueError unless the configuration has these values; names may be keys of extra."""
+    own = cfg.as_dict()
+    differ = {k: (own.get(k, cfg.extra.get(k)), v) for k, v in frozen.items() if _plain(own.get(k, cfg.extra.get(k))) != _plain(v)}
+    if differ:
+        raise ValueError("the configuration differs from the frozen one: " + ", ".join(f"{k}={a!r}, not {b!r}" for k, (a, b) in sorted(differ.items())))
+
+
+def _plain(v: object) -> object:
+    return list(v) if isinstance(v, tuple) else v

@@ -189,6 +189,31 @@ class Prep:
             parts.append(F.array(*(self.encoder.apply(c) for c in self.nominal)).cast("array<double>"))
         return df.withColumn(name, F.concat(*parts))
 
+    def to_dict(self) -> dict:
+        """Everything that transform() needs, as JSON types."""
+        encoder = {"kind": "one_hot", "vocabulary": self.encoder.vocabulary, "mode": self.encoder.mode, "bucket": sorted(self.encoder.bucket)} if isinstance(self.encoder, OneHot) else {"kind": "ordinal", "codes": self.encoder.codes, "mode": self.encoder.mode, "scaler": asdict(self.encoder.scaler)}
+        return {"numeric": self.numeric, "nominal": self.nominal, "scaler": asdict(self.scaler), "encoder": encoder}
+
+    @classmethod
+    def from_dict(cls, found: dict) -> Prep:
+        """A frozen preprocessing, to be applied without any fit; ValueError if parts are missing."""
+        e, scaler = found["encoder"], Scaler(**found["scaler"])
+        encoder = OneHot(e["vocabulary"], e["mode"], set(e["bucket"])) if e["kind"] == "one_hot" else Ordinal(e["codes"], e["mode"], Scaler(**e["scaler"]))
+        out = cls(list(found["numeric"]), list(found["nominal"]), scaler, encoder)
+        out.validate()
+        return out
+
+    def validate(self) -> None:
+        """Every column has its parameters, all finite, and no scale is 0."""
+        own = [(self.scaler, self.numeric)] + ([(self.encoder.scaler, self.nominal)] if isinstance(self.encoder, Ordinal) else [])
+        for scaler, columns in own:
+            for c in columns:
+                values = [part.get(c) for part in (scaler.median, scaler.mean, scaler.scale)]
+                if any(v is None or v != v or abs(v) == float("inf") for v in values) or values[2] == 0:
+                    raise ValueError(f"no usable statistics for {c}")
+        if len(set(self.feature_names())) < len(self.feature_names()):
+            raise ValueError("features repeat")
+
     def describe(self) -> dict:
         return {"numeric": self.numeric, "nominal": self.nominal, "output_features": self.feature_names(), "scaler": asdict(self.scaler), "encoder": type(self.encoder).__name__}
 

@@ -180,7 +180,7 @@ def preprocess(assigned: DataFrame, names: list[str], cfg: Config) -> tuple[Data
     if found is not None:
         ready = found.transform(ready, "features", "features")
         info |= {"svd_components": len(found.components), "singular_values": found.singular}
-    return ready, info
+    return ready, info | {"frozen": fitted.to_dict()}
 
 
 def freeze(assigned: DataFrame, manifest: dict, out: Path, cfg: Config) -> None:
@@ -226,6 +226,26 @@ def audit_protocols(table: DataFrame, configs: dict[str, Config]) -> dict[str, d
     return out
 
 
+def checkpoint(manifest: dict, expected: dict) -> dict[str, bool]:
+    """Named checks of a manifest against a frozen one; all must hold before it is used."""
+    goals = manifest["parameters"]
+    same = lambda k: manifest.get(k) == expected.get(k)
+    checks = {k: same(k) for k in ("protocol_version", "scientific_question", "population", "parameters", "seed", "counts", "proportions", "index_hashes", "distributions", "group_overlap", "split_hash")}
+    checks["rows_partitioned"] = manifest["row_validation"]["ok"]
+    checks["no_split_empty"] = all(manifest["counts"].values())
+    checks["groups_disjoint"] = manifest["group_overlap"] is None or not any(v for k, v in manifest["group_overlap"].items() if k.endswith("_overlap")) or not goals["group_cols"]
+    checks["validation_ok"] = manifest["validation_ok"] and expected["validation_ok"]
+    return checks
+
+
+def freeze_after_agreement(first: dict, second: dict, path: str | Path) -> Path:
+    """Write a manifest once, if two independent runs agree in every check."""
+    failed = [k for k, ok in checkpoint(sinks.plain(first), sinks.plain(second)).items() if not ok]
+    if failed:
+        raise ValueError(f"the runs disagree in {', '.join(failed)}")
+    return sinks.create_json(path, first)
+
+
 def checkpoint_markdown(manifest: dict) -> str:
     """A short review page of a split manifest."""
     lines = [f"# {manifest['protocol_version']}", "", manifest["scientific_question"], "", "| split | rows | share |", "|---|---|---|"]

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -130,6 +131,18 @@ def test_scaler_uses_training_rows_only(spark):
     assert [r.features[0] for r in fitted.transform(spark.createDataFrame([(3.5,), (None,)], "a double")).collect()] == pytest.approx([0.0, (2 - 3.5) / s.scale["a"]])
 
 
+def test_frozen_preprocessing_is_replayed(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (None, "b")], "x double, c string")
+    for cfg in (Config(), Config(semantics="gpu")):
+        fitted = prep.fit(df, ["x"], ["c"], cfg)
+        again = prep.Prep.from_dict(json.loads(json.dumps(fitted.to_dict())))
+        assert fitted.transform(df).collect() == again.transform(df).collect()
+    broken = fitted.to_dict()
+    broken["scaler"]["scale"]["x"] = 0.0
+    with pytest.raises(ValueError):
+        prep.Prep.from_dict(broken)
+
+
 def test_quantiles_by_brackets(spark, monkeypatch):
     df = spark.range(5000).select((F.xxhash64("id") % 997).cast("double").alias("x"))
     want = prep.quantiles(df, ["x"], [0.1, 0.5, 0.77])["x"]
