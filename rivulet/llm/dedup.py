@@ -5,10 +5,10 @@ collections of m half-keys, of r values each, are made; the L = m*m table keys a
 half-key of the first and one of the second collection, so only 2rm values are computed.  Two
 documents of similarity s share a table with probability (1 - (1 - s^r)^m)^2.
 
-Documents with equal shingle sets form a class and only its representative is compared.  In each
-table every member is checked against the bucket's smallest one; what that connects is connected
-with stars alone.  Then the pairs of a bucket that are still in different components are checked,
-so no link that a table holds and that would join two components is lost.
+Documents with equal shingle sets form a class and only its representative is compared.  In large
+buckets members are first checked against some pivots, which joins most of them; then all pairs of
+a bucket that are still in different components are checked, in blocks if they are many, so no
+link that a table holds and that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm import textkernel as tk
@@ -36,6 +36,12 @@ class Banding:
     percent: int = 80
     rows: int = 3
     halves: int = 9
+    #: Rounds of pivots, the part of the buckets in each, pairs for each row of a bucket that may
+    #: become rows, and shingles in a block otherwise.
+    pivot_rounds: int = 1
+    pivot_share: int = 9
+    pairs_a_row: float = 1.0
+    block_shingles: int = 400_000
     #: Up to so many candidate documents their ids are broadcast (8 bytes each) to pick the texts.
     broadcast_ids: int = 1 << 20
 
@@ -82,9 +88,9 @@ def _sets(docs: DataFrame, band: Banding) -> DataFrame:
 
 
 def table_keys(classes: DataFrame, band: Banding) -> DataFrame:
-    """(key, id): the m*m table keys of each class, pairs of its half-keys."""
-    first = classes.select("id", F.posexplode(F.slice("halves", 1, band.halves)).alias("i", "x"), F.slice("halves", band.halves + 1, band.halves).alias("second"))
-    return first.select("id", "i", "x", F.posexplode("second").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "id")
+    """(key, id, n): the m*m table keys of each class, pairs of its half-keys, and its set's size."""
+    first = classes.select("id", F.col("n_shingles").alias("n"), F.posexplode(F.slice("halves", 1, band.halves)).alias("i", "x"), F.slice("halves", band.halves + 1, band.halves).alias("second"))
+    return first.select("id", "n", "i", "x", F.posexplode("second").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", "n")
 
 
 def _picked(docs: DataFrame, ids: DataFrame, band: Banding) -> DataFrame:
@@ -94,13 +100,13 @@ def _picked(docs: DataFrame, ids: DataFrame, band: Banding) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sources: DataFrame, band: Banding) -> DataFrame:
-    """Of the pairs (a, b) those whose full shingle sets are similar enough.
+    """Of the pairs (a, b, ca, cb) those whose full shingle sets are similar enough, as (ca, cb).
 
     The texts travel to the pairs, those of a first; sources are Parquet rows (id, text).
     """
     left = sources.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = sources.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    joined = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -120,9 +126,110 @@ def _verified(pairs: DataFrame, sources: DataFrame, band: Banding) -> DataFrame:
                 at = np.searchsorted(t, s)
                 common = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
                 keep.append(100 * common >= band.percent * (len(s) + len(t) - common) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("ca"), batch.column("cb")], ["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "ca long, cb long")
+
+
+def _near(x: str, y: str, band: Banding) -> Column:
+    """Set sizes alone exclude a pair if they differ too much."""
+    return (F.col(x) * 100 >= F.col(y) * band.percent) & (F.col(y) * 100 >= F.col(x) * band.percent)
+
+
+def _linked(members: DataFrame, labels: DataFrame, classes: DataFrame, sources: DataFrame, band: Banding) -> DataFrame:
+    """(id, component) of all ids of members (key, id, n, rows) after checking the buckets' pairs.
+
+    Only buckets that still hold several components matter.  If they have many pairs of different
+    components, members of some buckets are first checked against a pivot of theirs, which makes
+    large groups of near copies fall together.  Then all pairs that are left are checked: as rows
+    if they are few for the members, else within blocks of members.
+    """
+    n_ids = labels.count()
+    small = n_ids <= band.broadcast_ids // 2  # tables with a row for each id are broadcast then
+    side = F.broadcast if small else (lambda df: df)
+    rows, pairs = members.agg(F.count("*"), F.sum((F.col("rows") - 1) / 2)).first()
+    placed = members.withColumn("component", F.col("id"))
+    for turn in range(band.pivot_rounds + 1):
+        if not rows:
+            break
+        few = pairs <= band.pairs_a_row * rows
+        if few or turn < band.pivot_rounds:
+            links = _verified(_pairs(placed, None if few else turn, band), sources, band)
+        else:
+            links = _in_blocks(placed.select("id", "n", "component").distinct(), classes, sources, band)
+        merged = components(checkpointed(links.distinct()), "ca", "cb", small).select(F.col("id").alias("component"), F.col("component").alias("into"))
+        labels = checkpointed(labels.join(side(merged), "component", "left").select("id", F.coalesce("into", "component").alias("component")))
+        if few or turn == band.pivot_rounds:
+            break
+        placed = members.select("key", "id", "n").join(side(labels), "id")
+        apart = placed.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        apart = checkpointed(apart.filter("rows * rows > same"))
+        rows, pairs = apart.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2)).first()
+        placed = checkpointed(placed.join(apart.select("key"), "key"))
+    return labels
+
+
+def _pairs(placed: DataFrame, turn: int | None, band: Banding) -> DataFrame:
+    """(a, b, ca, cb): all pairs of different components that share a bucket, or, in a turn of
+    pivots, those of a member and the pivot of its bucket, for one in ``pivot_share`` buckets."""
+    y = placed.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+    if turn is None:
+        x = placed.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+        found = x.join(y, "key").filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _near("nx", "ny", band))
+    else:
+        some = F.pmod("key", F.lit(band.pivot_share)) == turn
+        x = placed.filter(some).groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx")), F.xxhash64("id", "key")).alias("p")).select("key", "p.*")
+        found = x.join(y.filter(some), "key").filter((F.col("cx") != F.col("cy")) & _near("nx", "ny", band))
+    first = F.col("x") < F.col("y")
+    pair = lambda u, v: F.when(first, F.col(u)).otherwise(F.col(v))
+    return found.select(pair("x", "y").alias("a"), pair("y", "x").alias("b"), pair("cx", "cy").alias("ca"), pair("cy", "cx").alias("cb")).distinct()
+
+
+def _in_blocks(ids: DataFrame, classes: DataFrame, sources: DataFrame, band: Banding) -> DataFrame:
+    """(ca, cb) of all similar pairs of ids (id, n, component) that share a table.
+
+    Two documents that share a table share a half-key of the first collection, so these m values
+    are the buckets here.  A bucket's largest component needs no comparison with itself: its other
+    members, in blocks of bounded size, meet blocks of all members.  A task compares two blocks in
+    memory, each pair only at the first half-key that it shares, and gives out links alone.
+    """
+    m = band.halves
+    rows = ids.join(classes.select("id", "halves"), "id")
+    tables = rows.select("id", "n", "component", F.posexplode(F.slice("halves", 1, m)).alias("i", "x")).withColumn("key", F.xxhash64("i", "x"))
+    each = tables.groupBy("key", "component").agg(F.sum("n").alias("s"))
+    whole = each.groupBy("key").agg(F.max(F.struct("s", "component")).alias("big"), F.sum("s").alias("total"), F.count("*").alias("k")).filter("k > 1")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / band.block_shingles)).cast("int")
+    whole = checkpointed(whole.select("key", F.col("big.component").alias("big"), blocks(F.col("total")).alias("all"), blocks(F.col("total") - F.col("big.s")).alias("own")))
+    placed = tables.join(whole, "key").select("key", "i", "id", "n", "component", "big", "all", "own")
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = placed.filter("component <> big").select("*", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), "own").cast("int").alias("o"), F.explode(spread("all")).alias("a"))
+    two = placed.select("*", F.lit(1).alias("side"), F.explode(spread("own")).alias("o"), F.pmod(F.xxhash64(F.lit(1), "id"), "all").cast("int").alias("a"))
+    units = one.unionByName(two.select(one.columns)).drop("all", "own").join(rows.select("id", "halves"), "id").join(sources, "id")
+
+    def run(unit: pa.Table) -> pa.Table:
+        side = unit.column("side").to_numpy()
+        sets = [tk.shingle_set(tk.word_hashes(tk.LOWER[t]), band.words) for t in texts(unit.column("text"))]
+        halves = np.array(unit.column("halves").to_pylist(), np.int64).reshape(len(sets), -1)
+        size, ids, component = (np.array([len(s) for s in sets]) if c is None else unit.column(c).to_numpy() for c in (None, "id", "component"))
+        i, big, links = unit.column("i")[0].as_py(), unit.column("big")[0].as_py(), set()
+        others = np.flatnonzero(side == 1)
+        for x in np.flatnonzero(side == 0).tolist():
+            near = (100 * size[others] >= band.percent * size[x]) & (100 * size[x] >= band.percent * size[others])
+            near &= (component[others] != component[x]) & ((component[others] == big) | (ids[others] > ids[x]))
+            y = others[near]
+            first = ~(halves[y, :i] == halves[x, :i]).any(1) if i else np.ones(len(y), bool)
+            y = y[first & (halves[y, m:] == halves[x, m:]).any(1)]
+            if not len(y):
+                continue
+            flat, ends = np.concatenate([sets[j] for j in y]), np.cumsum(size[y])
+            at = np.searchsorted(sets[x], flat)
+            hit = np.r_[0, np.cumsum(sets[x][np.minimum(at, size[x] - 1)] == flat)]
+            common = hit[ends] - hit[ends - size[y]]
+            for j in y[100 * common >= band.percent * (size[y] + size[x] - common)].tolist():
+                links.add((min(component[x], component[j]).item(), max(component[x], component[j]).item()))
+        return pa.table({"ca": pa.array([p for p, _ in links], pa.int64()), "cb": pa.array([q for _, q in links], pa.int64())})
+
+    return units.groupBy("key", "o", "a").applyInArrow(run, "ca long, cb long")
 
 
 def near_duplicates(docs: DataFrame, band: Banding = Banding()) -> DataFrame:
@@ -141,32 +248,17 @@ def near_duplicates(docs: DataFrame, band: Banding = Banding()) -> DataFrame:
     classes = rows.filter("n_shingles > 0").groupBy("n_shingles", "set1", "set2").agg(F.min("doc_id").alias("id"), F.any_value("halves").alias("halves"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
     keys = table_keys(classes, band)
-    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top")
-    # lengths alone exclude a pair if they differ too much
-    near = lambda x, y: (F.col(x) * 100 >= F.col(y) * band.percent) & (F.col(y) * 100 >= F.col(x) * band.percent)
-    sizes = classes.select("id", "n_shingles")
-    members = checkpointed(keys.join(shared.select("key", "pivot"), "key").join(sizes, "id"))
-    stars = members.filter("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    ids = members.select("id").distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
+    members = checkpointed(keys.join(shared, "key"))
+    ids = checkpointed(members.select("id").distinct())
     sources = written(_picked(docs, ids, band).dropDuplicates(["id"]), "near")
-    links = checkpointed(_verified(stars, sources, band))
-    found = components(links)
-    # pairs of a bucket that the stars left apart
-    placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    placed = placed.join(apart, "key")
-    x = placed.select("key", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"), "pivot")
-    y = placed.select("key", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "key").filter("a < b and ca <> cb and a <> pivot").filter(near("na", "nb")).select("a", "b").distinct()
-    rest = checkpointed(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = checkpointed(links.unionByName(_verified(rest, sources, band)))
-        found = components(links)
+    found = _linked(members, ids.select("id", F.col("id").alias("component")), classes, sources, band)
     # from representatives back to all rows; the representative's row of a hot class is repeated
     salts = 16
-    placed = classes.filter("copies > 1").select("n_shingles", "set1", "set2", "id").join(found, "id", "left").select("n_shingles", "set1", "set2", F.coalesce("component", "id").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    some = F.broadcast if found.limit(band.broadcast_ids // 2 + 1).count() <= band.broadcast_ids // 2 else (lambda df: df)
+    placed = classes.filter("copies > 1").select("n_shingles", "set1", "set2", "id").join(some(found), "id", "left").select("n_shingles", "set1", "set2", F.coalesce("component", "id").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     alone = found.select(F.col("id").alias("doc_id"), F.col("component").alias("own"))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(placed, ["n_shingles", "set1", "set2", "salt"], "left").join(alone, "doc_id", "left")
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(placed, ["n_shingles", "set1", "set2", "salt"], "left").join(some(alone), "doc_id", "left")
     component = F.coalesce("component", "own", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 

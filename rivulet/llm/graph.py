@@ -8,27 +8,30 @@ from pyspark.sql import functions as F
 from rivulet.llm.runtime import checkpointed
 
 
-def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
+def components(edges: DataFrame, first: str = "a", second: str = "b", small: bool = False) -> DataFrame:
     """(id, component): the smallest id that each id of an edge can reach.
 
-    Alternates large-star and small-star steps until no edge changes.  Each step is a grouped
-    minimum with map-side combination and a join on the node; a node with very many edges is
-    split by the adaptive skew join.  Nodes without edges don't appear.
+    Alternates large-star and small-star steps until every edge leads from a node to the least of
+    its component.  Edges are kept from the larger to the smaller id.  Each step is a grouped
+    minimum with map-side combination and a join on the node; a node with very many edges is split
+    by the adaptive skew join.  Nodes without edges don't appear.  Callers that have counted few
+    nodes say so with small; tables with a row for each node are then broadcast.
     """
-    links = edges.select(F.col(first).alias("u"), F.col(second).alias("v")).filter("u <> v").distinct()
+    side = F.broadcast if small else (lambda df: df)
+    links = edges.select(F.greatest(first, second).alias("u"), F.least(first, second).alias("v")).filter("u > v").distinct()
     links = checkpointed(links)
-    before = None
     while True:
+        # settled: no node has two edges, and none is both a source and a target
+        ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("s"), F.lit(0).alias("t")), F.struct(F.col("v").alias("x"), F.lit(0).alias("s"), F.lit(1).alias("t")))).alias("e")).select("e.*")
+        open_ = ends.groupBy("x").agg(F.sum("s").alias("s"), F.max("t").alias("t")).filter("s > 1 or (s > 0 and t > 0)")
+        if open_.isEmpty():
+            found = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            return found.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: each larger neighbour points to the smallest one known
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        # small star: smaller neighbours and the node itself point to the smallest of them
+        # large star: each larger neighbour points to the least of the neighbours and the node
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(side(low), "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        # small star: smaller neighbours and the node itself point to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        links = checkpointed(small.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
-        before = now
+        small = large.join(side(least), "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        links = checkpointed(small.select("e.u", F.col("e.m").alias("v")).filter("u > v").distinct())
