@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm import textkernel as tk
@@ -39,7 +39,7 @@ class Lm:
     shape: Shape = Shape()
     modulus: int = 7
     held_out: int = 2
-    dictionary: int = 1 << 20
+    dictionary: int = 1 << 18
     #: Bounds of the warm-up sample: documents, and tokens of each that are used at a time.
     warm_docs: int = 600
     warm_passes: int = 3
@@ -112,6 +112,8 @@ class Vocabulary:
     distinct: int
     ids: HashArray
     counts: HashArray
+    #: The rank of counts (see count_rank) from which on tokens are in the dictionary.
+    least: int
     complete: bool
     #: log10 of the counts' sum plus types plus one, for each rare class.
     rare_log: np.ndarray
@@ -123,12 +125,24 @@ class Vocabulary:
         return np.where(found, i, shape.words + s.astype(np.int32)).astype(np.int32)
 
 
+def count_rank(c: Column) -> Column:
+    """A rising function of a count with few values: exact up to 4095, then 64 steps an octave."""
+    return F.when(c < 4096, c).otherwise(4096 + F.floor(64 * F.log2(c / 4096))).cast("long")
+
+
 def vocabulary(counts: DataFrame, lm: Lm) -> Vocabulary:
-    """From token_counts()'s table; the driver gets the most frequent tokens only."""
+    """From token_counts()'s table; the driver gets the most frequent tokens only.
+
+    How many tokens have each count decides from which count on at most ``dictionary`` are taken.
+    """
     by_shape = counts.groupBy("s").agg(F.sum("c").alias("c"), F.count("*").alias("k")).toPandas()
-    top = counts.orderBy(F.col("c").desc(), "h").limit(lm.dictionary).toArrow()
-    h, s, c = (top.column(x).combine_chunks().to_numpy() for x in ("h", "s", "c"))
-    h = h.view(U64)
+    ranks = counts.groupBy(count_rank(F.col("c")).alias("r")).agg(F.count("*").alias("k")).toPandas().sort_values("r", ascending=False)
+    fits = ranks.r[ranks.k.cumsum() <= lm.dictionary]
+    least = int(fits.iloc[-1]) if len(fits) else 1 << 40
+    top = counts.filter(count_rank(F.col("c")) >= least).toArrow()
+    h, s, c = (top.column(x).combine_chunks().to_numpy() if len(top) else np.zeros(0, np.int64) for x in ("h", "s", "c"))
+    order = np.lexsort((h, -c))
+    h, s, c = h[order].view(U64), s[order], c[order]
     n, words = lm.shape.rare_classes, lm.shape.words
     sums, types = np.zeros(n), np.zeros(n)
     sums[by_shape.s], types[by_shape.s] = by_shape.c, by_shape.k
@@ -146,7 +160,7 @@ def vocabulary(counts: DataFrame, lm: Lm) -> Vocabulary:
     per_token[words:] = sums
     end = int(np.flatnonzero(own_h == END)[0])
     distinct = int(by_shape.k.sum())
-    return Vocabulary(int(by_shape.c.sum()), distinct, HashArray(own_h, np.arange(len(own_h), dtype=np.int32)), HashArray(h, c), distinct <= len(h), np.log10(sums + types + 1), per_token, end)
+    return Vocabulary(int(by_shape.c.sum()), distinct, HashArray(own_h, np.arange(len(own_h), dtype=np.int32)), HashArray(h, c), least, distinct <= len(h), np.log10(sums + types + 1), per_token, end)
 
 
 def train(docs: DataFrame, vocab: Vocabulary, lm: Lm) -> Gru:
@@ -255,9 +269,8 @@ def likelihoods(docs: DataFrame, lm: Lm = Lm()) -> DataFrame:
         more = scored.select("*", F.lit(0).cast("long").alias("tail_known"), F.lit(0.0).alias("tail_log"))
     else:
         scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-        least = vocab.counts.values[:-1].min().item()
         tail = scored.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
-        beyond = counts.filter(F.col("c") <= least).select("h", "c")
+        beyond = counts.filter(count_rank(F.col("c")) < vocab.least).select("h", "c")
         sums = tail.join(beyond, "h").groupBy("row").agg(F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
         more = scored.join(sums, "row", "left").withColumn("tail_known", F.coalesce("tail_known", F.lit(0))).withColumn("tail_log", F.coalesce("tail_log", F.lit(0.0)))
     total, denominator = vocab.total, float(np.log10(vocab.total + vocab.distinct + 1))
