@@ -277,10 +277,10 @@ _CUT_ALL = _CUTS.format(by="", part="", all="", sel="", on="", same="")
 _CUT_EACH = _CUTS.format(by="event_type,", part="PARTITION BY event_type", all="PARTITION BY event_type", sel="x.event_type,", on="x.event_type = y.event_type AND", same="z.event_type = x.event_type AND")
 
 
-@query(f"WITH {_CUT_ALL} SELECT i, j, {r('cost')} AS cost, (SELECT u FROM p WHERE r = i + 1) AS val_from_us, (SELECT u FROM p WHERE r = j + 1) AS test_from_us FROM w")
+@query(f"WITH {_CUT_ALL} SELECT i, j, {r('cost::DOUBLE')} AS cost, (SELECT u FROM p WHERE r = i + 1) AS val_from_us, (SELECT u FROM p WHERE r = j + 1) AS test_from_us FROM w")
 def temporal_cuts(spark, sf_dir):
     rows = splits.bucket_histogram(table(spark, sf_dir, "events").withColumn("_bucket", S.bucket(F.col("ts"), "1d"))).orderBy("_bucket").toPandas()
-    i, j, cost = splits.two_cuts(rows.n.to_numpy(), np.array([0.6, 0.15, 0.25]))
+    i, j, cost = splits.two_cuts(rows.n.to_numpy(), splits.goals_of(EVENTS))
     return rounded(spark.createDataFrame([(i, j, cost, int(rows._bucket[i]), int(rows._bucket[j]))], "i bigint, j bigint, cost double, val_from_us bigint, test_from_us bigint"))
 
 
