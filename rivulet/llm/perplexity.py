@@ -2,10 +2,12 @@
 
 Each language has its own model of order 5.  Spark counts the 5-grams of every whole text and
 derives the lower orders' continuation counts, the discounts and the normalisers from them with
-ordinary aggregates.  What the executors get is sorted hash arrays of log10 probabilities and
-back-off weights.  Their size is bounded: if more than ``max_entries`` n-grams exist, the count
-below which n-grams are left out rises, and the probability of those left out goes to back-off,
-so that the model stays normalised.  Discounts and normalisers always come from all n-grams.
+ordinary aggregates.  The texts that are scored are those that were counted, so every 5-gram of
+theirs is in the table, and its probability, interpolated through all orders, follows from joins.
+What the executors get is sorted hash arrays of all 5-grams' log10 probabilities, dealt into blocks
+of about ``block_entries``; a task holds one block at a time.  No n-gram is left out at any size.
+
+fit() makes a pruned model of bounded size for other texts; quality() and keep_clean() don't use it.
 
 Each language gets a band of log-perplexity around its median, some robust standard deviations
 wide on either side and wider for short texts; documents outside are rejected.
@@ -17,8 +19,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm import textkernel as tk
@@ -40,6 +44,7 @@ class Rules:
     """Production parameters."""
 
     max_entries: int = 1 << 20
+    block_entries: int = 1 << 21
     width_low: float = 6.0
     width_high: float = 12.0
     least_spread: float = 0.002
@@ -143,13 +148,8 @@ def _suffix(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> U64(_GRAM_BITS)) << U64(_GRAM_BITS)) | (keys & U64((1 << 8 * n) - 1))
 
 
-def fit(counts: DataFrame, rules: Rules = Rules()) -> Model:
-    """The model of gram_counts()'s table.
-
-    Discounts need the counts of counts, normalisers the sum over each context; both are
-    aggregates over all n-grams.  The driver gets the n-grams that are kept (at most max_entries)
-    and the contexts' sums of those.
-    """
+def _discounts(counts: DataFrame) -> tuple[pd.DataFrame, dict[tuple[int, int], list[float]]]:
+    """How many n-grams have each count up to 64, and each order's and language's discounts."""
     tag = F.shiftrightunsigned("gram", _GRAM_BITS)
     small = counts.groupBy("n", tag.alias("tag"), F.least("c", F.lit(64)).alias("c")).agg(F.count("*").alias("k")).toPandas()
     discounts = {}
@@ -162,6 +162,75 @@ def fit(counts: DataFrame, rules: Rules = Rules()) -> Model:
         else:  # too few n-grams to estimate them
             d = [0.5, 0.75, 0.9]
         discounts[int(n), int(t)] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
+    return small, discounts
+
+
+def _context() -> Column:
+    tag = F.col("gram").bitwiseAND(F.lit(~((1 << _GRAM_BITS) - 1)))
+    return F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << _GRAM_BITS) - 1)), 8).bitwiseOR(tag)
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(gram, v): log10 p of each 5-gram's last byte after the others, of gram_counts()'s table.
+
+    A context or a suffix has at most 256 n-grams, so no key of the window or the joins is hot.
+    """
+    _, discounts = _discounts(counts)
+    rows = [(n, t, *d) for (n, t), d in discounts.items()]
+    side = counts.sparkSession.createDataFrame(rows, "n int, tag long, d1 double, d2 double, d3 double")
+    side = F.broadcast(side) if len(rows) <= 4096 * ORDER else side
+    own = counts.withColumn("tag", F.shiftrightunsigned("gram", _GRAM_BITS)).join(side, ["n", "tag"])
+    own = own.select("n", "gram", "c", _context().alias("context"), F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
+    w = Window.partitionBy("n", "context")
+    total = F.sum("c").over(w)
+    own = checkpointed(own.select("n", "gram", ((F.col("c") - F.col("d")) / total).alias("own"), (F.sum("d").over(w) / total).alias("gamma")))
+    p = own.filter("n = 1").select("gram", (F.col("own") + F.col("gamma") / 256).alias("p"))
+    for n in range(2, ORDER + 1):
+        suffix = F.col("gram").bitwiseAND(F.lit(~((1 << _GRAM_BITS) - 1) | ((1 << 8 * (n - 1)) - 1)))
+        lower = p.select(F.col("gram").alias("suffix"), "p")
+        p = own.filter(F.col("n") == n).withColumn("suffix", suffix).join(lower, "suffix").select("gram", (F.col("own") + F.col("gamma") * F.col("p")).alias("p"))
+    return p.select("gram", F.log10("p").cast("float").alias("v"))
+
+
+#: Both are below 2^31, so that products of residues fit in a long.
+_PRIME, _FACTOR = (1 << 31) - 1, 48271
+
+
+def blocks(table: DataFrame, rules: Rules = Rules()) -> list[Broadcast]:
+    """Sorted hash arrays of probabilities()'s table; the driver holds one block at a time."""
+    table = checkpointed(table)
+    n = max(1, -(-table.count() // rules.block_entries))
+    dealt = F.pmod(F.pmod("gram", F.lit(_PRIME)) * _FACTOR, F.lit(_PRIME)) % n
+    out = []
+    for i in range(n):
+        found = table.filter(dealt == i).toArrow()
+        keys, v = (found.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in ("gram", "v"))
+        out.append(table.sparkSession.sparkContext.broadcast(HashArray(_hashed(ORDER, keys.view(U64)), v)))
+    return out
+
+
+def _looked_up(held: list[Broadcast], keys: np.ndarray) -> np.ndarray:
+    """log10 p of packed 5-grams; of several blocks only one is in memory."""
+    out = np.zeros(len(keys))
+    block = np.mod(np.mod(keys.view(np.int64), _PRIME) * _FACTOR, _PRIME) % len(held) if len(held) > 1 else None
+    for i, b in enumerate(held):
+        own = slice(None) if block is None else np.flatnonzero(block == i)
+        found, out[own] = b.value.get(_hashed(ORDER, keys[own]))
+        if not found.all():
+            raise ValueError("a text has changed since its n-grams were counted")
+        if block is not None and b._path is not None:
+            b.__dict__.pop("_value", None)  # read again from the local file when it's needed
+    return out
+
+
+def fit(counts: DataFrame, rules: Rules = Rules()) -> Model:
+    """A model of gram_counts()'s table for any text, also one that was not counted.
+
+    Discounts need the counts of counts, normalisers the sum over each context; both are
+    aggregates over all n-grams.  The driver gets the n-grams that are kept (at most max_entries)
+    and the contexts' sums of those; the probability of the others goes to back-off.
+    """
+    small, discounts = _discounts(counts)
     cut = 1
     by_count = small[small.n > 2].groupby("c").k.sum()
     while cut < 64 and by_count[by_count.index >= cut].sum() > rules.max_entries // 2:
@@ -170,9 +239,8 @@ def fit(counts: DataFrame, rules: Rules = Rules()) -> Model:
     while cut == 64 and counts.filter((F.col("n") > 2) & (F.col("c") >= least)).count() > rules.max_entries // 2:
         least = least * 2
     kept = (F.col("n") <= 2) | (F.col("c") >= least)
-    context = F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << _GRAM_BITS) - 1)), 8).bitwiseOR(F.col("gram").bitwiseAND(F.lit(~((1 << _GRAM_BITS) - 1))))
     sums = (
-        counts.groupBy("n", context.alias("context"))
+        counts.groupBy("n", _context().alias("context"))
         .agg(F.sum("c").alias("total"), *(F.count_if(kept & test).alias(f"k{i}") for i, test in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") >= 3))), F.sum(F.when(kept, F.col("c")).otherwise(0)).alias("held"))
         .filter(F.col("held") > 0)
     )
@@ -256,24 +324,23 @@ def base_counts(text: np.ndarray, window: int) -> tuple[int, int, int, int, int]
 _SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, base_failed boolean, log_ppl double"
 
 
-def scored(docs: DataFrame, model: Model, rules: Rules, carry: list[str]) -> DataFrame:
+def scored(docs: DataFrame, held: list[Broadcast], rules: Rules, carry: list[str]) -> DataFrame:
     """The base counts and log10 perplexity (a byte) of each row, after the columns to carry.
 
     docs has the columns text and lang among others; the result's own columns are _q_*.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
     names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = held.value, {}
+        known: dict[str | None, int] = {}
         for batch in batches:
             column, langs = batch.column("_q_text"), batch.column("_q_lang").to_pylist()
             rows = list(texts(column))
             log_ppl: list[float | None] = []
-            for lo, hi in packs(column):
+            for lo, hi in packs(column, 1 << 20 if len(held) == 1 else 1 << 22):
                 tags = np.array([known.setdefault(x, lang_tag(x)) for x in langs[lo:hi]], U64)
                 keys, _, lens = _grams(rows[lo:hi], tags)
-                sums = np.r_[0.0, np.cumsum(_log_p(m, keys))]
+                sums = np.r_[0.0, np.cumsum(_looked_up(held, keys))]
                 ends = np.cumsum(lens)
                 log_ppl += [-(sums[e] - sums[e - n]) / n if n else None for e, n in zip(ends.tolist(), lens.tolist())]
             base = [base_counts(r, rules.window) for r in rows]
@@ -329,8 +396,8 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     tune(docs.sparkSession)
     plain = docs.select("doc_id", "text", "lang")
-    model = fit(gram_counts(plain), rules)
-    rows = checkpointed(scored(plain, model, rules, ["doc_id", "lang"]))
+    held = blocks(probabilities(gram_counts(plain)), rules)
+    rows = checkpointed(scored(plain, held, rules, ["doc_id", "lang"]))
     out = _judged(rows, "lang", rules)
     names = [x.split()[0] for x in _SCORED.split(", ")]
     return out.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in names), F.col("_b_low").alias("band_low"), F.col("_b_high").alias("band_high"), F.col("_q_kept").alias("kept"))
@@ -339,6 +406,6 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs, with all their columns, that quality() keeps."""
     tune(docs.sparkSession)
-    model = fit(gram_counts(docs.select("text", "lang")), rules)
-    rows = written(scored(docs, model, rules, docs.columns), "quality")
+    held = blocks(probabilities(gram_counts(docs.select("text", "lang"))), rules)
+    rows = written(scored(docs, held, rules, docs.columns), "quality")
     return _judged(rows, "lang", rules).filter("_q_kept").select(*docs.columns)

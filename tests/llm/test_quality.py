@@ -117,3 +117,16 @@ def test_hash_array():
 def test_bands_are_symmetric_in_their_spread(docs):
     row = Q.quality(docs).filter("not base_failed").first()
     assert row.band_low < row.band_high and math.isfinite(row.log_ppl)
+
+
+def test_no_ngram_is_left_out(docs):
+    """Verdicts are those of the unpruned model, whatever the bounds on what a task holds."""
+    counts = Q.gram_counts(docs.select("text", "lang"))
+    whole = Q.fit(counts, Q.Rules(max_entries=1 << 40))
+    table = Q.probabilities(counts).toPandas()
+    assert len(table) == counts.filter("n = 5").count()
+    assert Q._log_p(whole, table.gram.to_numpy().view(np.uint64)) == pytest.approx(table.v.to_numpy(), abs=1e-4)
+    names = ("doc_id", "kept", "log_ppl")
+    want = {r.doc_id: (r.kept, r.log_ppl) for r in Q.quality(docs).select(*names).collect()}
+    got = {r.doc_id: (r.kept, r.log_ppl) for r in Q.quality(docs, Q.Rules(max_entries=4000, block_entries=len(table) // 5)).select(*names).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
