@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-Candidates are maximal runs of a character class.  A run belongs to the narrowest class that holds
-all of it; a window of the class's width slides over it, and its entropy follows from
-S = sum c * log2 c of the window's character counts, of which only two change with each step.
-Windows of at least the class's threshold that hold letters and digits are joined to spans.
+Candidates are maximal runs of the widest character class.  In a candidate each class has its own
+maximal runs, so a value that is glued to its name or path is judged by its own class; a window of
+the class's width slides over them, and its entropy follows from S = sum c * log2 c of the window's
+character counts, of which only two change with each step.  Windows of at least the class's
+threshold that hold letters and digits are joined to spans, and so are overlapping spans of several
+classes; a span is called after the narrowest class that holds all of it.
 Allow-listed runs (UUIDs, dates, digests that are named so, placeholders, URLs) are suppressed.
 """
 
@@ -65,7 +67,7 @@ ALLOWED = (
     re.compile(rb"(sha(1|256|384|512)|md5)[-_=].*", re.IGNORECASE),
 )
 #: What may stand before a run that is allowed.
-ALLOWED_BEFORE = re.compile(rb"(://[^\s\"'<>]*|(sha(1|256|384|512)|md5|commit)[:=\x20]\x20*)$", re.IGNORECASE)
+ALLOWED_BEFORE = re.compile(rb"(://[^\s\"'<>]*|(sha(1|256|384|512)|md5|commit)[:=_\x20-]\x20*)$", re.IGNORECASE)
 
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 
@@ -132,13 +134,28 @@ def entropy_spans(text: np.ndarray) -> list[tuple[int, int, int]]:
         held = text[s:e]
         if not (_DIGIT[held].any() and _LETTER[held].any()):
             continue
-        if any(a.fullmatch(run) for a in ALLOWED) or ALLOWED_BEFORE.search(raw, max(0, s - 512), s):
+        if _allowed(raw, s, e):
             continue
-        kind = next(i for i, c in enumerate(_MEMBERS) if c[held].all())
-        out += [(s + lo, 3 + kind, s + hi) for lo, hi in entropy_windows(run, CLASSES[kind].width, CLASSES[kind].bits)]
+        found = []
+        for c, member in zip(CLASSES, _MEMBERS):
+            for lo, hi in zip(*(x.tolist() for x in tk.spans(held, member))):
+                if hi - lo >= c.width and (hi - lo == e - s or not _allowed(raw, s + lo, s + hi)):
+                    found += [(s + lo + a, s + lo + b) for a, b in entropy_windows(run[lo:hi], c.width, c.bits)]
+        joined: list[tuple[int, int]] = []
+        for lo, hi in sorted(found):
+            if joined and lo < joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(hi, joined[-1][1]))
+            else:
+                joined.append((lo, hi))
+        out += [(lo, 3 + next(i for i, m in enumerate(_MEMBERS) if m[text[lo:hi]].all()), hi) for lo, hi in joined]
     return out
 
 
+def _allowed(raw: bytes, s: int, e: int) -> bool:
+    run = raw[s:e]
+    return any(a.fullmatch(run) for a in ALLOWED) or ALLOWED_BEFORE.search(raw, max(0, s - 512), s) is not None
+
+
 _MEMBERS = [_class(c.chars) for c in CLASSES]
 
 

@@ -55,3 +55,16 @@ def test_entropy_finds_keys_and_allows_known_shapes():
 
 def test_odd_rows(odd, none):
     assert S.secrets(odd).count() == 9 and S.secrets(none).count() == 0
+
+
+def test_glued_values_are_judged_by_their_own_class():
+    rng = random.Random(5)
+    for before, after in (("", ""), ("K=", ""), ("NAME_OF_IT=", ""), ("path/to/", ""), ("id_", ""), ("x-", "/tail"), ("A=b&k=", "=z")):
+        for chars in ("0123456789ABCDEF", "0123456789abcdefABCDEF"):
+            values = ["".join(rng.choice(chars) for _ in range(40)) for _ in range(50)]
+            assert sum(bool(spans(f"see {before}{v}{after} end")) for v in values) >= 49, (before, chars)
+    two = "K=9F86D081884C7D659A2FEAA0C55AD015/A7C3E9015BD2468F0E1D2C3B4A596877"
+    t = np.frombuffer(two.encode(), np.uint8)
+    assert {x for s, _, e in S.entropy_spans(t) for x in range(s, e)} >= {*range(2, 34), *range(35, 67)}
+    for fine in ("x/sha1=9F86D081884C7D659A2FEAA0C55AD015", "x/md5_9F86D081884C7D659A2FEAA0C55AD015", "id=123e4567-e89b-12d3-a456-426614174000"):
+        assert spans(f"see {fine} end") == [], fine
