@@ -26,7 +26,7 @@ class Shape:
     rare_classes: int = 32
     window: int = 24
     score_lanes: int = 256
-    train_lanes: int = 64
+    train_lanes: int = 256
     rate: float = 0.08
     seed: int = 3
 
@@ -211,7 +211,7 @@ class Trainer:
         logp, d = net.outputs(states[on], y[on], True)
         d_states = np.zeros_like(states)
         d_states[on] = d.pop("h")
-        g, u = np.zeros_like(net.g), np.zeros_like(net.u)
+        u, owns = np.zeros_like(net.u), np.zeros((steps, lanes, 3 * n), np.float32)
         back = np.zeros((lanes, n), np.float32)
         for t in range(steps - 1, -1, -1):
             past, z, r, new, un = saved[t]
@@ -219,11 +219,15 @@ class Trainer:
             d_new = dh * (1 - z) * (1 - new * new)
             d_z = dh * (past - new) * z * (1 - z)
             d_r = d_new * un * r * (1 - r)
-            own = np.concatenate([d_z, d_r, d_new], 1)
+            owns[t] = np.concatenate([d_z, d_r, d_new], 1)
             through = np.concatenate([d_z, d_r, d_new * r], 1)
-            np.add.at(g, x[t], own)
             u += past.T @ through
             back = (dh * z + through @ net.u.T) * kept[t]
+        order = np.argsort(x, axis=None, kind="stable")
+        inputs = x.ravel()[order]
+        first = np.flatnonzero(np.r_[True, inputs[1:] != inputs[:-1]])
+        g = np.zeros_like(net.g)
+        g[inputs[first]] = np.add.reduceat(owns.reshape(-1, 3 * n)[order], first)
         return -float(logp.sum()), d | {"g": g, "u": u}, h
 
     def update(self, grads: dict[str, np.ndarray], n: int) -> None:

@@ -5,8 +5,8 @@ vocabulary; all other words share classes by their shape, and within a class hav
 of their smoothed count, so every text has a proper probability.
 
 The network first sees a bounded warm-up sample on the driver, where only its starting point comes
-from.  Then each task trains a copy on its share of the training documents, a fixed fraction of all
-of them by hash, and the copies are averaged by tokens seen, level by level.
+from.  Then all training documents are dealt to the tasks, each trains a copy on those it has, and
+the copies are averaged by tokens seen, level by level.
 
 The counts of the ``dictionary`` most frequent words go to the tasks as a sorted hash array of
 bounded size.  The tokens beyond it are joined with the counts by hash; they are rare by
@@ -43,8 +43,8 @@ class Lm:
     #: Bounds of the warm-up sample: documents, and tokens of each that are used at a time.
     warm_docs: int = 600
     warm_passes: int = 3
-    #: One in so many training documents goes into the distributed training pass.
-    share: int = 16
+    #: One in so many training documents goes into the distributed training pass; 1 is all.
+    share: int = 1
     #: Tokens that a task holds at a time.
     group: int = 2_000_000
 
@@ -184,15 +184,15 @@ def train(docs: DataFrame, vocab: Vocabulary, lm: Lm) -> Gru:
             for t in texts(batch.column("text")):
                 group.append(v.encode(*tokens(t), shape))
                 size += len(group[-1])
-                if size >= lm.group // 4:
+                if size >= lm.group:
                     seen += own.run(group, v.end)[0]
                     group, size = [], 0
         seen += own.run(group, v.end)[0]
         if seen:
             yield _blob(own.net.to_bytes(), seen)
 
-    share = docs.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(lm.share)) == 0).select("text")
-    copies = written(share.mapInArrow(local, "w binary, n long"), "copies")
+    share = docs if lm.share == 1 else docs.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(lm.share)) == 0)
+    copies = written(share.select("text").mapInArrow(local, "w binary, n long"), "copies")
     parts = copies.count()
     while parts > 16:
         parts = -(-parts // 16)

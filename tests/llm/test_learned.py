@@ -95,6 +95,20 @@ def test_probabilities_sum_to_one():
     assert np.exp(Gru.from_bytes(model.shape, model.to_bytes()).outputs(h.astype(np.float32), np.arange(8))[0]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_every_training_document_is_learned_from(spark):
+    """By default each document moves the weights, whatever its hash."""
+    from pyspark.sql import functions as F
+
+    lm = L.Lm(shape=TINY.shape, warm_docs=1, warm_passes=1)
+    df = spark.createDataFrame([(i, f"the cat number {i % 7} sat on mat {i % 5} and so on") for i in range(24)], "doc_id long, text string").coalesce(1)
+    vocab = L.vocabulary(L.token_counts(df), lm)
+    warm = df.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    whole = L.train(df, vocab, lm).to_bytes()
+    assert whole == L.train(df, vocab, lm).to_bytes()
+    for i in [x for x in range(24) if x != warm][:6]:
+        assert L.train(df.filter(F.col("doc_id") != i), vocab, lm).to_bytes() != whole, i
+
+
 # Toxicity -------------------------------------------------------------------------------------
 
 
