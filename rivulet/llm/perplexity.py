@@ -45,8 +45,8 @@ class Rules:
 
     max_entries: int = 1 << 20
     block_entries: int = 1 << 21
-    width_low: float = 6.0
-    width_high: float = 12.0
+    width_low: float = 4.0
+    width_high: float = 3.0
     least_spread: float = 0.002
     settle_bytes: int = 1500
     min_words: int = 10

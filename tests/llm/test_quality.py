@@ -130,3 +130,13 @@ def test_no_ngram_is_left_out(docs):
     want = {r.doc_id: (r.kept, r.log_ppl) for r in Q.quality(docs).select(*names).collect()}
     got = {r.doc_id: (r.kept, r.log_ppl) for r in Q.quality(docs, Q.Rules(max_entries=4000, block_entries=len(table) // 5)).select(*names).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+
+
+def test_bands_reject_labelled_junk(spark, sf_dir):
+    """Of what passes the base rules: at least two fifths of the junk go, and at most 2 % of the clean."""
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{larger}/{x}.parquet") for x in ("documents", "labels"))
+    rows = Q.quality(docs).join(labels, "doc_id").filter("not base_failed").select("quality", "kept").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(junk) > 20 and 1 - sum(junk) / len(junk) >= 0.4
+    assert len(clean) > 300 and 1 - sum(clean) / len(clean) <= 0.02
