@@ -2,41 +2,45 @@
 
 A fingerprint of a word sequence is a k-gram hash that is the least of some window of w successive
 k-gram hashes.  Two texts that share any w + k - 1 words share a window and so a fingerprint; with
-w = windows - k + 1 no shared window of the contract's length can be missed.  Fingerprints of the
-documents are looked up among those of the benchmark, and each hit is extended word by word as far
-as both texts agree; runs that reach the window length are contaminated words.  Items too short
-for a window are looked up whole, by their own length.
+w = windows - k + 1 no shared window of the contract's length can be missed.
 
-The benchmark is the stated query set.  It is dealt by hash into blocks of bounded size, and each
-block is broadcast in a pass of its own over all documents.
+Documents' fingerprints are joined with the benchmark's.  Both carry the word hashes up to w - 1
+words to either side of their k-gram, by which a hit is extended as far as both texts agree: every
+shared window that holds the k-gram lies within these words, so texts needn't meet.  Runs that
+reach the window length are hit words.  Items too short for a window are joined whole, by the hash
+of their words and their own length.
+
+A Bloom filter of the benchmark's hashes, of bounded size, goes to the one pass over the documents
+and keeps back most fingerprints that join with nothing.  It only saves shuffling: if the benchmark
+outgrows it, more rows reach the join and the result is the same.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm import textkernel as tk
-from rivulet.llm.hasharray import HashArray
-from rivulet.llm.runtime import texts, tune, written
+from rivulet.llm.runtime import Rows, checkpointed, columns, few, texts, tune, written
 
 U64 = np.uint64
 
 
 @dataclass(frozen=True)
 class Winnow:
-    """Production parameters: window and k-gram in words, least share of hit words, block size."""
+    """Production parameters: window and k-gram in words, least share of hit words, most bits of
+    the Bloom filter (a power of two), most rows of a table that is broadcast."""
 
     window: int = 13
     k: int = 5
     one_in: int = 20
-    block_bytes: int = 16 << 20
+    bloom_bits: int = 1 << 27
+    broadcast_rows: int = 20_000
 
 
 def fingerprints(grams: np.ndarray, w: int) -> np.ndarray:
@@ -59,168 +63,202 @@ def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
     return out
 
 
-@dataclass
-class Index:
-    """A block of the benchmark: fingerprints' postings, items' words, short items by length."""
-
-    slots: HashArray
-    item_of: np.ndarray
-    at: np.ndarray
-    words: list[np.ndarray]
-    ids: list[str]
-    short: dict[int, dict[int, list[int]]]
-
-
-def index_of(items: list[tuple[str, np.ndarray]], win: Winnow) -> Index:
-    """items: (item_id as text, bytes of the text)."""
-    words = [tk.word_hashes(tk.LOWER[t], tk.ALNUM) for _, t in items]
-    short: dict[int, dict[int, list[int]]] = {}
-    hashes, item_of, at = [], [], []
-    for i, w in enumerate(words):
-        if 0 < len(w) < win.window:
-            short.setdefault(len(w), {}).setdefault(int(tk.gram_hashes(w, len(w))[0]), []).append(i)
-        elif len(w):
-            grams = tk.gram_hashes(w, win.k)
-            where = fingerprints(grams, win.window - win.k + 1)
-            hashes.append(grams[where])
-            at.append(where)
-            item_of.append(np.full(len(where), i))
-    cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    hashes, item_of, at = cat(hashes, U64), cat(item_of, np.int32), cat(at, np.int32)
-    order = np.argsort(hashes, kind="stable")
-    hashes, item_of, at = hashes[order], item_of[order], at[order]
-    keys, first = np.unique(hashes, return_index=True)
-    return Index(HashArray(keys, first.astype(np.int32)), item_of, at, words, [i for i, _ in items], short)
-
-
-def _agreement(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading values are equal."""
-    n, lo, step = min(len(a), len(b)), 0, 32
-    while lo < n:
-        differs = np.flatnonzero(a[lo : min(lo + step, n)] != b[lo : min(lo + step, n)])
-        if len(differs):
-            return lo + int(differs[0])
-        lo, step = lo + step, step * 4
-    return n
-
-
-def hits(words: np.ndarray, index: Index, win: Winnow) -> tuple[list[tuple[int, int]], set[int]]:
-    """Disjoint ranges of hit words and the items with occurring windows."""
-    runs: list[tuple[int, int]] = []
-    found: set[int] = set()
-    if len(words) >= win.window and len(index.slots):
-        grams = tk.gram_hashes(words, win.k)
-        where = fingerprints(grams, win.window - win.k + 1)
-        ok, slot = index.slots.get(grams[where])
-        done: dict[tuple[int, int], int] = {}
-        ends = index.slots.values
-        for p, s in zip(where[ok].tolist(), slot[ok].tolist()):
-            h = grams[p]
-            stop = int(np.searchsorted(ends[:-1], s, side="right"))
-            last = int(ends[stop]) if stop < len(ends) - 1 else len(index.item_of)
-            for item, q in zip(index.item_of[s:last].tolist(), index.at[s:last].tolist()):
-                if done.get((item, p - q), -1) >= p:
+def _around(words: np.ndarray, at: np.ndarray, win: Winnow, pad: int) -> np.ndarray:
+    """A row for each place: the hashes of the k-gram there and of the words on either side of it.
+
+    Beyond the text's ends stands pad, which differs between documents and items.
+    """
+    side = win.window - win.k
+    wide = np.concatenate([np.full(side, pad, U64), words, np.full(side, pad, U64)])
+    return wide[at[:, None] + np.arange(2 * side + win.k)].view(np.int64)
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    return tk.word_hashes(tk.LOWER[text], tk.ALNUM)
+
+
+# The benchmark --------------------------------------------------------------------------------
+
+
+def _postings(items: DataFrame, win: Winnow) -> DataFrame:
+    """(id, one, two, n, h, around): the fingerprints of items, or one row for a short item.
+
+    one and two are a digest of the item's words; n is the length of its windows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, one, two, n, h, around = [], [], [], [], [], []
+            for i, t in zip(batch.column("id").to_pylist(), texts(batch.column("text"))):
+                words = _words(t)
+                if not len(words):
                     continue
-                other = index.words[item]
-                right = p + _agreement(words[p:], other[q:])
-                left = p - _agreement(words[:p][::-1], other[:q][::-1])
-                done[item, p - q] = max(right, p + 1) - 1
-                if right - left >= win.window:
-                    runs.append((left, right))
-                    found.add(item)
-    for n, by_hash in index.short.items():
-        if len(words) >= n:
-            grams = tk.gram_hashes(words, n)
-            for p in np.flatnonzero(np.isin(grams, np.fromiter(by_hash, U64, len(by_hash)))).tolist():
-                runs.append((p, p + n))
-                found.update(by_hash[int(grams[p])])
-    merged: list[tuple[int, int]] = []
-    for lo, hi in sorted(runs):
-        if merged and lo <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-        else:
-            merged.append((lo, hi))
-    return merged, found
-
-
-_SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-_ADDED = "_d_words long, _d_spans array<struct<lo:int,hi:int>>, _d_items array<string>"
-
-
-def _pass(docs: DataFrame, block: DataFrame, carry: list[str], win: Winnow) -> DataFrame:
-    """Adds a block's hits to those of earlier passes (columns _d_spans and _d_items)."""
-    from rivulet.llm.runtime import buffers
-
-    rows = block.select(F.col("item_id").cast("string").alias("item_id"), "text").toArrow()
-    data, at = buffers(rows.column("text"))
-    items = [(i, data[lo:hi]) for i, lo, hi in zip(rows.column("item_id").to_pylist(), at[:-1], at[1:]) if i is not None]
-    held = docs.sparkSession.sparkContext.broadcast(index_of(items, win))
-    again = "_d_spans" in docs.columns
+                size = min(len(words), win.window)
+                if size < win.window:
+                    hashes, rows = tk.gram_hashes(words, size), [None]
+                else:
+                    grams = tk.gram_hashes(words, win.k)
+                    at = fingerprints(grams, win.window - win.k + 1)
+                    hashes, rows = grams[at], _around(words, at, win, 1).tolist()
+                whole = [int(tk.mix(words + U64(s)) @ tk.powers(len(words))) & (1 << 63) - 1 for s in (1, 2)]
+                h += hashes.view(np.int64).tolist()
+                around += rows
+                ids += [i] * len(rows)
+                n += [size] * len(rows)
+                one += whole[:1] * len(rows)
+                two += whole[1:] * len(rows)
+            cols = [pa.array(ids, pa.string()), *(pa.array(x, pa.int64()) for x in (one, two)), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(around, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "one", "two", "n", "h", "around"])
+
+    return items.mapInArrow(run, "id string, one long, two long, n int, h long, around array<long>")
+
+
+def _probes(h: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The two places of each hash in the filter."""
+    x = tk.mix(h + U64(n))
+    return np.stack([x & U64(bits - 1), (x >> U64(32)) & U64(bits - 1)]).astype(np.int64)
+
+
+def _bloom(hashes: DataFrame, win: Winnow) -> np.ndarray:
+    """The filter's bytes for a table (n, h); at most bloom_bits / 8 of them, by any benchmark."""
+    bits = 1 << 16
+    rows = hashes.count()
+    while bits < win.bloom_bits and bits < 16 * rows:
+        bits *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
+        held = np.zeros(bits // 64, U64)
         for batch in batches:
-            n, spans, ids = [], [], []
-            before = zip(batch.column("_d_spans").to_pylist(), batch.column("_d_items").to_pylist()) if again else None
-            for t in texts(batch.column("_d_text")):
-                words = tk.word_hashes(tk.LOWER[t], tk.ALNUM)
-                own, found = hits(words, index, win)
-                names = {index.ids[i] for i in found}
-                if before:
-                    old, known = next(before)
-                    names |= set(known)
-                    own = sorted(own + [(s["lo"], s["hi"]) for s in old])
-                    own = _union(own)
-                n.append(len(words))
-                spans.append([{"lo": lo, "hi": hi} for lo, hi in own])
-                ids.append(sorted(names))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.string()))], carry + ["_d_words", "_d_spans", "_d_items"])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for c in carry for f in docs.schema if f.name == c) + _ADDED
-    text = F.col("text").alias("_d_text")
-    return docs.select(*carry, text, *(["_d_spans", "_d_items"] if again else [])).mapInArrow(run, schema)
-
-
-def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in runs:
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
+            n, h = (batch.column(c).to_numpy() for c in ("n", "h"))
+            for size in np.unique(n).tolist():
+                at = _probes(h[n == size].view(U64), size, bits).ravel()
+                np.bitwise_or.at(held, at >> 6, U64(1) << (at & 63).astype(U64))
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used].view(np.int64))], ["at", "word"])
+
+    found = hashes.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(bits // 64, U64)
+    out[found.column("at").to_numpy()] = found.column("word").to_numpy().view(U64)
     return out
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, carry: list[str], win: Winnow) -> DataFrame:
-    tune(docs.sparkSession)
-    benchmark = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / win.block_bytes))
-    wide = carry if blocks == 1 or "text" in carry else [*carry, "text"]
-    out = docs
-    for b in range(blocks):
-        block = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        out = _pass(out, block, wide, win)
-        if b + 1 < blocks:
-            out = written(out, "decontam")
-    n_hit = F.aggregate("_d_spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
-    return out.select(*carry, "_d_words", n_hit.alias("_d_hit"), F.array_sort("_d_items").alias("_d_items")).withColumn("_d_bad", (F.col("_d_hit") > 0) & (F.col("_d_hit") * win.one_in >= F.col("_d_words")))
+def _member(bloom: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    at = _probes(h, n, 64 * len(bloom))
+    return ((bloom[at >> 6] >> (at & 63).astype(U64)) & U64(1)).astype(bool).all(axis=0)
+
+
+# Documents ------------------------------------------------------------------------------------
+
+_FOUND = "array<struct<n:int,h:long,at:array<int>,around:array<long>>>"
+
+
+def _candidates(docs: DataFrame, bloom: np.ndarray, short: list[int], win: Winnow) -> DataFrame:
+    """(doc_id, k1, k2, n_words, found): of each row of docs (doc_id, text, k1, k2) the hashes that
+    the filter has, with their places."""
+    held = docs.sparkSession.sparkContext.broadcast(bloom)
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("around", pa.list_(pa.int64()))]))
+
+    def of(words: np.ndarray) -> list[dict]:
+        out = []
+        if len(words) >= win.window:
+            grams = tk.gram_hashes(words, win.k)
+            at = fingerprints(grams, win.window - win.k + 1)
+            at = at[_member(held.value, grams[at], win.window)]
+            if len(at):
+                out += [{"n": win.window, "h": h, "at": [p], "around": a} for h, p, a in zip(grams[at].view(np.int64).tolist(), at.tolist(), _around(words, at, win, 0).tolist())]
+        for n in short:
+            if len(words) >= n:
+                grams = tk.gram_hashes(words, n)
+                at = np.flatnonzero(_member(held.value, grams, n))
+                for h in np.unique(grams[at]).tolist():
+                    out.append({"n": n, "h": int(np.uint64(h).view(np.int64)), "at": at[grams[at] == U64(h)].tolist(), "around": None})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_words(t) for t in texts(batch.column("text"))]
+            cols = [batch.column(c) for c in ("doc_id", "k1", "k2")] + [pa.array([len(w) for w in words], pa.int64()), pa.array([of(w) for w in words], kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k1", "k2", "n_words", "found"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n_words long, found {_FOUND}")
+
+
+def _extended(win: Winnow) -> tuple[Column, Column]:
+    """By how many words a hit's k-gram can be extended to the left and right; null if it differs."""
+    side, k = win.window - win.k, win.k
+    same = lambda i: F.element_at("around", i) == F.element_at("theirs", i)
+    part = lambda lo, hi: F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda i: ~same(i))
+    left = F.lit(side) - F.coalesce(F.array_max(part(1, side)), F.lit(0))
+    right = F.coalesce(F.array_min(part(side + k + 1, 2 * side + k)), F.lit(2 * side + k + 1)) - F.lit(side + k + 1)
+    return left, F.when(F.size(part(side + 1, side + k)) == 0, right)
+
+
+def _hits(found: DataFrame, postings: DataFrame, win: Winnow) -> DataFrame:
+    """(k1, k2, one, two, lo, hi): the ranges of a document's words that an item's words hit."""
+    theirs = postings.groupBy("n", "h", F.col("around").alias("theirs")).agg(F.collect_set(F.struct("one", "two")).alias("items"))
+    own = found.filter(F.size("found") > 0).select("k1", "k2", F.explode("found").alias("x")).select("k1", "k2", "x.*")
+    own = own.dropDuplicates(["k1", "k2", "n", "h", "at"])
+    joined = own.join(few(checkpointed(theirs), win.broadcast_rows), ["n", "h"])
+    left, right = _extended(win)
+    runs = joined.withColumn("left", F.when(F.col("n") < win.window, 0).otherwise(left)).withColumn("right", F.when(F.col("n") < win.window, F.col("n")).otherwise(right + win.k))
+    runs = runs.filter((F.col("n") < win.window) | (F.col("left") + F.col("right") >= win.window))
+    return runs.select("k1", "k2", "items", F.explode("at").alias("p"), "left", "right").select("k1", "k2", "items", (F.col("p") - F.col("left")).alias("lo"), (F.col("p") + F.col("right")).alias("hi"))
+
+
+def _marked(rows: DataFrame, benchmark: DataFrame, win: Winnow) -> DataFrame:
+    """(doc_id, k1, k2, n_words, n_hit, ids, bad) of each row of a table (doc_id, text, k1, k2).
+
+    k1 and k2 are a digest of doc_id and text: rows that have both in common are hit alike.
+    """
+    items = columns(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("id"), "text").filter("id is not null and text is not null")
+    postings = written(_postings(items, win), "postings")
+    short = sorted(r.n for r in postings.filter(F.col("n") < win.window).select("n").distinct().collect())
+    bloom = _bloom(postings.select("n", "h"), win)
+    found = written(_candidates(rows, bloom, short, win), "found")
+    hits = checkpointed(_hits(found, postings, win))
+    # a document's ranges in order: each adds what lies beyond all before it
+    before = F.max("hi").over(Window.partitionBy("k1", "k2").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = hits.groupBy("k1", "k2", "lo").agg(F.max("hi").alias("hi")).withColumn("seen", F.coalesce(before, F.lit(0)))
+    n_hit = ranges.groupBy("k1", "k2").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "seen"))).cast("long").alias("n_hit"))
+    known = postings.select("one", "two", "id").distinct()
+    named = hits.select("k1", "k2", F.explode("items").alias("i")).select("k1", "k2", "i.*").distinct().join(few(known, win.broadcast_rows), ["one", "two"])
+    ids = named.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    hit = checkpointed(n_hit.join(ids, ["k1", "k2"]))
+    out = found.select("doc_id", "k1", "k2", "n_words").join(few(hit, win.broadcast_rows), ["k1", "k2"], "left")
+    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0))).withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    return out.withColumn("bad", (F.col("n_hit") > 0) & (F.col("n_hit") * win.one_in >= F.col("n_words")))
+
+
+def _digest(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit(1)).alias("k2")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, win: Winnow = Winnow()) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, items, contaminated.
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words and no hits; items without an id, text or words have no
-    window; repeated items count once by id; an empty benchmark contaminates nothing.  Extra
-    columns are ignored.
+    Null and empty texts have no words and no hits; long texts are searched whole; items without
+    an id, text or words have no window; repeated items count once by id; repeated rows get equal
+    results; an empty benchmark contaminates nothing and no rows give no rows.  Extra columns are
+    ignored, whatever their names.
     """
-    out = _marked(docs.select("doc_id", "text"), benchmark, ["doc_id"], win)
-    return out.select("doc_id", F.col("_d_words").alias("n_words"), F.col("_d_hit").alias("n_hit"), F.size("_d_items").cast("long").alias("n_items"), F.sha2(F.array_join("_d_items", ","), 256).alias("items_sha256"), F.col("_d_bad").alias("contaminated"))
+    tune(docs.sparkSession)
+    rows = columns(docs, "doc_id", "text")
+    out = _marked(rows.select("doc_id", "text", *_digest(F.col("doc_id"), F.col("text"))), benchmark, win)
+    return out.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), F.col("bad").alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, win: Winnow = Winnow()) -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated."""
-    return _marked(docs, benchmark, docs.columns, win).filter("not _d_bad").select(*docs.columns)
+    """The rows of docs, with all their columns, that are not contaminated; cases as above.
+
+    The texts are read a second time and not shuffled unless very many documents go.
+    """
+    tune(docs.sparkSession)
+    rows = Rows(docs)
+    own = _digest(rows.column("doc_id"), rows.column("text"))
+    found = _marked(rows.frame.select(rows.column("doc_id").alias("doc_id"), rows.column("text").alias("text"), *own), benchmark, win)
+    gone = checkpointed(found.filter("bad").select("k1", "k2").distinct())
+    kept = rows.frame.select("row", *own).join(few(gone, 50 * win.broadcast_rows), ["k1", "k2"], "left_anti")
+    return rows.unpacked(kept)
 
 
 #: The contract in DuckDB SQL.

@@ -32,8 +32,8 @@ def result(df):
     return sorted((tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 200])
-def test_by_brute_force(spark, block):
+@pytest.mark.parametrize("win", [decontam.Winnow(), decontam.Winnow(bloom_bits=1 << 16, broadcast_rows=0)])
+def test_by_brute_force(spark, win):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(6)] + ["Ünï", "x1"]
     item = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -41,9 +41,9 @@ def test_by_brute_force(spark, block):
     rows = [(i, " ".join([item(rng.randrange(30)), (rng.choice(items)[1] or "") if i % 2 else "", item(rng.randrange(400))])) for i in range(60)] + [(100, None), (101, ""), (102, items_text.upper() + " tail"), (102, items_text)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.contamination(docs, bench, decontam.Winnow(block_bytes=block))
+    found = decontam.contamination(docs, bench, win)
     assert result(found) == sorted(((i, *brute(t, [x for x in items if x[1] is not None])) for i, t in rows), key=repr)
-    kept = decontam.drop_contaminated(docs, bench, decontam.Winnow(block_bytes=block))
+    kept = decontam.drop_contaminated(docs, bench, win)
     assert kept.count() == found.filter("not contaminated").count()
 
 
