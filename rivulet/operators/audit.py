@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.contract import REGISTERED
 from rivulet.functions import scalar as S
-from rivulet.operators.normalize import examples, issues
+from rivulet.operators.normalize import issues
 from rivulet.operators.quality import eligible
 
 MEASURES = ("rows", "native_missing", "sentinel_missing", "invalid", "negative", "non_integral", "out_of_port_range", "bad_label", "bad_boolean")
@@ -57,11 +57,24 @@ def with_total(df: DataFrame, columns: Iterable[str], file: str) -> DataFrame:
 def quality(df: DataFrame, file: str, position: str, n: int = 5) -> tuple[DataFrame, dict]:
     """Violations left after quarantine: a table (file, column, issue, count) and first examples.
 
+    Counts are conditional sums of one scan.  If there are violations, a second scan turns the bad
+    cells alone into rows and ranks them; tasks keep the first n of each kind before the shuffle.
     The dict says whether the population is compatible, which decides a command's exit code.
     """
     kept, kinds = eligible(df), dict(df.dtypes)
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("issue"), x.cast("int").alias("bad")) for c in df.columns if c in REGISTERED for k, x in issues(c, kinds[c], REGISTERED[c]).items()]
-    table = kept.select(file, F.explode(F.array(*cells)).alias("x")).groupBy(file, "x.column", "x.issue").agg(F.sum("x.bad").cast("bigint").alias("count"))
-    bad = table.filter("count > 0").groupBy("column", "issue").agg(F.sum("count").alias("count")).collect()
-    found = {f"{r.column}:{r.issue}": {"count": r["count"], "examples": [e.asDict() for e in examples(kept, r.column, r.issue, position, n).collect()]} for r in bad}
+    checks = [(c, k, x) for c in df.columns if c in REGISTERED for k, x in issues(c, kinds[c], REGISTERED[c]).items()]
+    wide = kept.groupBy(file).agg(*(F.count_if(x).alias(f"{i}") for i, (_, _, x) in enumerate(checks)))
+    long = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(k).alias("issue"), F.col(f"`{i}`").alias("count")) for i, (c, k, _) in enumerate(checks)))
+    table = wide.select(file, F.explode(long).alias("x")).select(file, "x.*")
+    counts: dict[str, int] = {}
+    for r in table.groupBy("column", "issue").agg(F.sum("count").alias("count")).filter(F.col("count") > 0).collect():
+        counts[f"{r.column}:{r.issue}"] = r["count"]
+    found = {k: {"count": m, "examples": []} for k, m in counts.items()}
+    if found:
+        shown = lambda c: F.substring(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")), 1, 80)
+        cells = [F.when(x, F.struct(F.lit(f"{c}:{k}").alias("key"), shown(c).alias("value"))) for c, k, x in checks if f"{c}:{k}" in counts]
+        bad = kept.select(F.col(position).cast("bigint").alias("position"), F.explode(F.array_compact(F.array(*cells))).alias("x")).select("position", "x.*")
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("position"))
+        for r in bad.withColumn("rank", rank).filter(F.col("rank") <= n).orderBy("key", "rank").collect():
+            found[r.key]["examples"].append({"position": r.position, "value": r.value})
     return table, {"compatible": not found, "violations": found, "exit_code": int(bool(found))}

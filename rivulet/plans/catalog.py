@@ -7,7 +7,7 @@ given clusters, labels a truth and a prediction.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import partial
 
 import numpy as np
@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.config import Config
+from rivulet.contract import DATASET_IDS, FLOW, IDENTITY, IPS, PORTS, ROW_IDS, SERVICES, TARGETS
 from rivulet.functions import scalar as S
-from rivulet.operators import audit, classmetrics, cluster, clustermetrics, normalize, prep, quality, reduce, representatives, search, splits, supervised
+from rivulet.operators import audit, classmetrics, cluster, clustermetrics, features, normalize, prep, quality, reduce, representatives, search, splits, supervised
 from rivulet.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,23 +227,19 @@ def group_codes_null_safe(spark, sf_dir):
 
 @query(f"WITH {_GROUPS} SELECT q, {r('quantile_cont(size, q)')} AS size FROM g, (VALUES (0.0), (0.25), (0.5), (0.75), (0.9), (0.99), (1.0)) v(q) GROUP BY q".replace("quantile_cont(size, q)", "CASE WHEN q = 0.0 THEN quantile_cont(size, 0.0) WHEN q = 0.25 THEN quantile_cont(size, 0.25) WHEN q = 0.5 THEN quantile_cont(size, 0.5) WHEN q = 0.75 THEN quantile_cont(size, 0.75) WHEN q = 0.9 THEN quantile_cont(size, 0.9) WHEN q = 0.99 THEN quantile_cont(size, 0.99) ELSE quantile_cont(size, 1.0) END").replace("SELECT q,", "SELECT q::DOUBLE AS q,"))
 def group_size_quantiles(spark, sf_dir):
-    shares = [0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
-    row = grouped(spark, sf_dir).agg(F.percentile("size", F.array(*map(F.lit, shares))).alias("v"))
-    return rounded(row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("q"), "v")).alias("x")).select(F.col("x.q").alias("q"), F.col("x.v").alias("size")), "size")
+    return rounded(splits.size_quantiles(grouped(spark, sf_dir)), "size")
 
 
 @query("WITH u AS (SELECT event_type AS class, user_id, count(*) AS n FROM events GROUP BY ALL) SELECT class, sum(n)::BIGINT AS rows, count(*) AS groups, " + r("max(n) / sum(n)") + " AS largest_group_fraction FROM u GROUP BY class")
 def group_class_support(spark, sf_dir):
     h = splits.group_histogram(labelled(table(spark, sf_dir, "events")), ["user_id"], ["event_type"], "event_id")
-    each = h.select(F.explode("classes").alias("x")).select("x.*")
-    return rounded(each.groupBy(F.col("v").alias("class")).agg(F.sum("n").alias("rows"), F.count("*").alias("groups"), (F.max("n") / F.sum("n")).alias("largest_group_fraction")))
+    return rounded(splits.class_support(h).drop("target"))
 
 
-@query(f"SELECT user_id, {r('count(*) / (SELECT count(*) FROM events)')} AS fraction FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 20")
+@query(f"SELECT user_id, {r('count(*) / (SELECT count(*) FROM events)')} AS fraction FROM events GROUP BY user_id ORDER BY count(*) DESC, min(event_id) LIMIT 20")
 def group_top20_fraction(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    sizes = e.groupBy("user_id").count()
-    return rounded(sizes.orderBy(F.col("count").desc(), "user_id").limit(20).select("user_id", (F.col("count") / e.count()).alias("fraction")))
+    h = splits.group_histogram(labelled(table(spark, sf_dir, "events")), ["user_id"], ["event_type"], "event_id")
+    return rounded(splits.largest_shares(h).select("user_id", "fraction"))
 
 
 @query(f"WITH {_ASSIGNED}, u AS (SELECT user_id, max(split = 'train') AS tr, max(split = 'val') AS va, max(split = 'test') AS te FROM assigned GROUP BY user_id) SELECT count(*) FILTER (tr) AS n_train_groups, count(*) FILTER (va) AS n_val_groups, count(*) FILTER (te) AS n_test_groups, count(*) FILTER (tr AND va) AS train_val_overlap, count(*) FILTER (tr AND te) AS train_test_overlap, count(*) FILTER (va AND te) AS val_test_overlap FROM u")
@@ -279,9 +276,9 @@ _CUT_EACH = _CUTS.format(by="event_type,", part="PARTITION BY event_type", all="
 
 @query(f"WITH {_CUT_ALL} SELECT i, j, {r('cost::DOUBLE')} AS cost, (SELECT u FROM p WHERE r = i + 1) AS val_from_us, (SELECT u FROM p WHERE r = j + 1) AS test_from_us FROM w")
 def temporal_cuts(spark, sf_dir):
-    rows = splits.bucket_histogram(table(spark, sf_dir, "events").withColumn("_bucket", S.bucket(F.col("ts"), "1d"))).orderBy("_bucket").toPandas()
-    i, j, cost = splits.two_cuts(rows.n.to_numpy(), splits.goals_of(EVENTS))
-    return rounded(spark.createDataFrame([(i, j, cost, int(rows._bucket[i]), int(rows._bucket[j]))], "i bigint, j bigint, cost double, val_from_us bigint, test_from_us bigint"))
+    rows = splits.bucket_histogram(table(spark, sf_dir, "events").withColumn("_bucket", S.bucket(F.col("ts"), "1d"))).orderBy("_bucket").collect()
+    i, j, cost = splits.two_cuts(np.array([x.n for x in rows]), splits.goals_of(EVENTS))
+    return rounded(spark.createDataFrame([(i, j, cost, rows[i]["_bucket"], rows[j]["_bucket"])], "i bigint, j bigint, cost double, val_from_us bigint, test_from_us bigint"))
 
 
 @query(f"WITH {_CUT_ALL}, a AS (SELECT CASE WHEN r <= i THEN 'train' WHEN r <= j THEN 'val' ELSE 'test' END AS split, epoch_us(ts) AS t, epoch_us(ts) - epoch_us(ts) % 86400000000 AS u FROM events JOIN p ON epoch_us(ts) - epoch_us(ts) % 86400000000 = p.u CROSS JOIN w) SELECT split, min(t) AS start_us, max(t) AS end_us, count(*) AS records, count(DISTINCT u) AS buckets FROM a GROUP BY split")
@@ -491,9 +488,20 @@ def v_measure_purity(spark, sf_dir):
     return rounded(clustermetrics.agreement(clustermetrics.contingency(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_returnflag")))
 
 
-@query()
+def _ami_sql(name: str, source: str, a: str, b: str) -> str:
+    """CTEs that end in a table of this name with one column, ami; log factorials are lgamma."""
+    lf = lambda x: f"lgamma({x} + 1)"
+    return f"""{name}_t AS (SELECT {a} AS u, {b} AS v, count(*)::DOUBLE AS n FROM {source} GROUP BY ALL), {name}_a AS (SELECT u, sum(n) AS a FROM {name}_t GROUP BY u), {name}_b AS (SELECT v, sum(n) AS b FROM {name}_t GROUP BY v), {name}_n AS (SELECT sum(n) AS t FROM {name}_t),
+{name}_m AS (SELECT sum(n / t * ln(t * n / (a * b))) AS mi FROM {name}_t JOIN {name}_a USING (u) JOIN {name}_b USING (v), {name}_n),
+{name}_h AS (SELECT ((SELECT -sum(a / t * ln(a / t)) FROM {name}_a, {name}_n) + (SELECT -sum(b / t * ln(b / t)) FROM {name}_b, {name}_n)) / 2 AS h),
+{name}_k AS (SELECT a, b, t, unnest(range(greatest(1, a + b - t)::BIGINT, least(a, b)::BIGINT + 1)) AS k FROM {name}_a, {name}_b, {name}_n),
+{name}_e AS (SELECT sum(k / t * ln(t * k / (a * b)) * exp({lf("a")} + {lf("b")} + {lf("t - a")} + {lf("t - b")} - {lf("t")} - {lf("k")} - {lf("a - k")} - {lf("b - k")} - {lf("t - a - b + k")})) AS e FROM {name}_k),
+{name} AS (SELECT (mi - e) / (h - e) AS ami FROM {name}_m, {name}_h, {name}_e)"""
+
+
+@query(f"WITH {_ami_sql('x', 'labels', 'quality', 'toxic')} SELECT {r('ami')} AS ami FROM x")
 def ami(spark, sf_dir):
-    return spark.createDataFrame([(round(clustermetrics.ami(table(spark, sf_dir, "labels"), "quality", "toxic"), 9),)], "ami double")
+    return rounded(spark.createDataFrame([(clustermetrics.ami(table(spark, sf_dir, "labels"), "quality", "toxic"),)], "ami double"))
 
 
 _USERS = "c AS (SELECT user_id, count(*) AS count FROM events GROUP BY user_id), q AS (SELECT *, row_number() OVER (ORDER BY count DESC) AS r, sum(count) OVER () AS n FROM c)"
@@ -611,3 +619,354 @@ def pareto_front(spark, sf_dir):
 @query()
 def synthetic_flow(spark, sf_dir):
     return readers.synthetic(spark, 300)
+
+
+# The contract on injected tokens --------------------------------------------------------------
+
+#: Columns of the adapter: the modulus of event_id at which each token stands, and the plain value in Spark and SQL.
+_SECONDS = ("floor(unix_micros(cast(ts as timestamp)) / 1000000)", "epoch_us(ts) // 1000000")
+_TOKENS: dict[str, tuple[dict[int, str | None], str, str]] = {
+    "ts": ({101: "1e11", 103: "-5", 107: "-"}, f"cast({_SECONDS[0]} as string)", f"({_SECONDS[1]})::VARCHAR"),
+    "duration": ({109: "inf", 113: "-Infinity", 127: "1e400", 131: "abc", 137: "1_0", 139: ""}, "cast(event_id as string)", "event_id::VARCHAR"),
+    "dst_bytes": ({149: "9007199254740993", 151: "1e300", 157: "0.5", 163: "nan", 167: None}, "cast(event_id as string)", "event_id::VARCHAR"),
+    "dst_port": ({173: "70000", 179: "inf", 181: "-1", 191: "443.0"}, "cast(event_id % 1000 as string)", "(event_id % 1000)::VARCHAR"),
+    "label": ({193: None, 197: "-", 199: "2", 211: "0.5"}, "cast(event_id % 2 as string)", "(event_id % 2)::VARCHAR"),
+    "type": ({223: None, 227: ""}, "event_type", "event_type"),
+    "dns_qclass": ({229: "1.5", 233: "-2", 239: "x"}, "cast(event_id % 3 as string)", "(event_id % 3)::VARCHAR"),
+    "http_uri": ({241: "-", 251: " - "}, "concat('/', event_type)", "'/' || event_type"),
+}
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as raw cells with every kind of violation at fixed rows."""
+    case = lambda odd, plain: "CASE " + " ".join(f"WHEN event_id % {m} = 0 THEN {_text(t)}" for m, t in odd.items()) + f" ELSE {plain} END"
+    return table(spark, sf_dir, "events").selectExpr("event_id AS orig_pos", *(f"cast({case(odd, plain)} as string) AS {c}" for c, (odd, plain, _) in _TOKENS.items()))
+
+
+def _text(t: str | None) -> str:
+    return "NULL" if t is None else f"'{t}'"
+
+
+def _tokens_sql() -> str:
+    """raw, and for each numeric column its number x, whether it is gone, and the checks."""
+    case = lambda odd, plain: "CASE " + " ".join(f"WHEN event_id % {m} = 0 THEN {_text(t)}" for m, t in odd.items()) + f" ELSE {plain} END"
+    return "raw AS (SELECT event_id AS orig_pos, " + ", ".join(f"{case(odd, plain)} AS {c}" for c, (odd, _, plain) in _TOKENS.items()) + " FROM events)"
+
+
+def _number_sql(c: str) -> str:
+    plain = rf"regexp_full_match({c}, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*')"
+    return f"CASE WHEN {c} = '1e400' THEN NULL WHEN {plain} THEN TRY_CAST({c} AS DOUBLE) WHEN lower({c}) IN ('inf', 'infinity') THEN 'inf'::DOUBLE WHEN lower({c}) IN ('-inf', '-infinity') THEN '-inf'::DOUBLE END"
+
+
+#: Column to least and largest value, whether whole, whether it may be missing.
+_RULES = {"ts": (0, 9223372036.854775807, False, True), "duration": (0, None, False, True), "dst_bytes": (0, None, True, True), "dst_port": (0, 65535, True, True), "label": (0, 1, True, False), "dns_qclass": (0, None, True, True)}
+
+
+def _checks_sql(c: str) -> dict[str, str]:
+    low, high, whole, nullable = _RULES[c]
+    gone, x, finite = f"({c} IS NULL OR {c} IN ('', '-'))", f"{c}_x", f"NOT isinf({c}_x)"
+    out = {} if nullable else {"missing_required": gone}
+    above = [] if high is None else [f"{x} >= {high}" if c == "ts" else f"{x} > {high}"]
+    bad = [f"{x} < {low}", *above, *([f"{x} % 1 <> 0"] if whole else [])]
+    out |= {"conversion_failure": f"NOT {gone} AND {x} IS NULL", "infinite": f"isinf({x})", "domain_violation": f"{finite} AND ({' OR '.join(bad)})"}
+    return out | ({"unsafe_integer_precision": f"{finite} AND abs({x}) > 9007199254740991"} if whole else {})
+
+
+_NUMBERS = f"{_tokens_sql()}, numbers AS (SELECT *, " + ", ".join(f"{_number_sql(c)} AS {c}_x" for c in _RULES) + " FROM raw)"
+
+
+@query(f"WITH {_NUMBERS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS issue, count(*) FILTER (coalesce({x}, false)) AS count FROM numbers" for c in _RULES for k, x in _checks_sql(c).items()) + " UNION ALL SELECT 'type', 'missing_required', count(*) FILTER (type IS NULL OR type = '') FROM numbers")
+def injected_violations(spark, sf_dir):
+    """Missing required, unparsable, infinite, out of domain and imprecise cells of every kind."""
+    found = normalize.column_report(tokens(spark, sf_dir))
+    return spark.createDataFrame([(c, k, v["count"]) for c, x in found.items() for k, v in x["issues"].items()], "column string, issue string, count bigint")
+
+
+@query(f"WITH {_NUMBERS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS native_missing_count, count(*) FILTER ({c} IN ('', '-')) AS sentinel_missing_count, count(*) FILTER ({' OR '.join(f'coalesce({x}, false)' for x in _checks_sql(c).values())}) AS invalid_count, count(*) FILTER ({c} IS NULL OR {c} IN ('', '-') OR {' OR '.join(f'coalesce({x}, false)' for x in _checks_sql(c).values())}) AS missing_after FROM numbers" for c in _RULES))
+def injected_column_report(spark, sf_dir):
+    found, names = normalize.column_report(tokens(spark, sf_dir), list(_RULES)), ("native_missing_count", "sentinel_missing_count", "invalid_count", "missing_after")
+    return spark.createDataFrame([(c, *(x[n] for n in names)) for c, x in found.items()], "column string, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def _clean_sql(c: str) -> str:
+    bad = " OR ".join(f"coalesce({x}, false)" for x in _checks_sql(c).values())
+    value = f"CASE WHEN NOT ({c} IS NULL OR {c} IN ('', '-') OR {bad}) THEN {c}_x END"
+    return f"({value})::BIGINT::VARCHAR AS {c}" if c == "dns_qclass" else f"({value})::BIGINT AS {c}" if c in ("dst_port", "label") else f"{value} AS {c}"
+
+
+_CLEAN = f"WITH {_NUMBERS} SELECT orig_pos, " + ", ".join(_clean_sql(c) for c in _RULES) + ", nullif(type, '') AS type, CASE WHEN http_uri <> '-' THEN http_uri END AS http_uri FROM numbers"
+
+
+@query(_CLEAN)
+def normalize_injected(spark, sf_dir):
+    return normalize.project(tokens(spark, sf_dir))
+
+
+@query(_CLEAN)
+def normalize_twice(spark, sf_dir):
+    """Normalised cells are left as they are, and old typed tables are read the same way."""
+    return normalize.project(normalize.project(tokens(spark, sf_dir)))
+
+
+@query(f"WITH {_FLOW} SELECT (row_number() OVER (PARTITION BY file ORDER BY orig_pos) - 1) * 0 + orig_pos AS file_row, file AS source_id FROM flow WHERE src_bytes = '0.0.0.0'")
+def quarantine_positions(spark, sf_dir):
+    rows = flow(spark, sf_dir).withColumns({readers.FILE_NO: F.lit(0), readers.SOURCE_ID: F.col("file"), readers.FILE_ROW: F.col("orig_pos")})
+    return quality.positions(rows).select(F.col(readers.SOURCE_ID).alias("source_id"), F.col(readers.FILE_ROW).alias("file_row"))
+
+
+_UNITS_SQL = " UNION ALL ".join(f"SELECT '{u}' AS unit, event_id, (epoch_us(ts) // {d}) * {d} AS us FROM events" for u, d in (("s", 1_000_000), ("ms", 1_000), ("us", 1)))
+
+
+@query(_UNITS_SQL)
+def timestamps_by_unit(spark, sf_dir):
+    """Epoch numbers of three units as text, parsed by the unit that their size gives."""
+    parts = []
+    for unit, width in (("s", 1_000_000), ("ms", 1_000), ("us", 1)):
+        raw = table(spark, sf_dir, "events").select("event_id", F.floor(S.micros(F.col("ts")) / width).cast("bigint").cast("string").alias("t"))
+        parts.append(normalize.with_time(raw, "t").select(F.lit(unit).alias("unit"), "event_id", S.micros(F.col("_ts")).alias("us")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# Feature policies -----------------------------------------------------------------------------
+
+_EXTRA = ("dataset_id", "Flow_ID", "srcip", "application", "_hidden")
+
+
+def _universe(spark: SparkSession) -> DataFrame:
+    """An empty table of the contract's columns and some with other names of the same roles."""
+    return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (*FLOW, *_EXTRA)))
+
+
+def _listed(names: Iterable[str]) -> str:
+    return ", ".join(f"'{n}'" for n in sorted(names))
+
+
+_COLUMNS = "cols AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate((*FLOW, *_EXTRA))) + ") v(i, c))"
+_GONE = {"all_except_labels": TARGETS | DATASET_IDS, "no_raw_ip": TARGETS | DATASET_IDS | IPS | ROW_IDS, "no_raw_ip_port": TARGETS | DATASET_IDS | IPS | ROW_IDS | PORTS}
+_BANNED = {"all_except_labels": TARGETS | DATASET_IDS, "no_raw_ip": TARGETS | DATASET_IDS | IPS | ROW_IDS, "no_raw_ip_port": TARGETS | DATASET_IDS | IDENTITY, "behavioral_strict": TARGETS | DATASET_IDS | IDENTITY | SERVICES}
+_STRICT_SQL = "(VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(features.STRICT)) + ") v(i, c)"
+
+
+@query(f"WITH {_COLUMNS} " + " UNION ALL ".join(f"SELECT '{p}' AS policy, (row_number() OVER (ORDER BY i) - 1) AS place, c AS feature FROM cols WHERE lower(c) NOT IN ({_listed(gone)}) AND c NOT LIKE '\\_%' ESCAPE '\\'" for p, gone in _GONE.items()) + f" UNION ALL SELECT 'behavioral_strict', i, c FROM {_STRICT_SQL}")
+def feature_policies(spark, sf_dir):
+    df = _universe(spark)
+    return spark.createDataFrame([(p, i, c) for p in features.POLICIES for i, c in enumerate(features.select(df, p))], "policy string, place bigint, feature string")
+
+
+@query(f"WITH {_COLUMNS} " + " UNION ALL ".join(f"SELECT '{p}' AS policy, c AS feature FROM cols WHERE lower(c) IN ({_listed(banned)})" for p, banned in _BANNED.items()))
+def feature_leaks(spark, sf_dir):
+    """What the guard refuses, column by column."""
+    def refused(policy: str, c: str) -> bool:
+        try:
+            features.guard([*features.STRICT, c] if policy == "behavioral_strict" else [c], policy)
+        except features.LeakageError as e:
+            return "forbidden" in str(e)
+        return False
+
+    return spark.createDataFrame([(p, c) for p in features.POLICIES for c in (*FLOW, *_EXTRA) if refused(p, c)], "policy string, feature string")
+
+
+@query(f"WITH {_COLUMNS} SELECT 'drop' AS policy, c AS feature FROM cols WHERE lower(c) NOT IN ({_listed(SERVICES)}) UNION ALL SELECT 'keep', c FROM cols")
+def service_policies(spark, sf_dir):
+    names = [*FLOW, *_EXTRA]
+    return spark.createDataFrame([(p, c) for p in ("keep", "drop") for c in features.service_features(names, p)], "policy string, feature string")
+
+
+@query(f"WITH {_COLUMNS} SELECT c AS feature, c IN ({_listed(c for c, s in FLOW.items() if s.log1p)}) AS log1p, CASE WHEN c IN ({_listed(c for c, s in FLOW.items() if s.treatment == 'numeric')}) THEN 'numeric' ELSE 'nominal' END AS kind FROM cols WHERE lower(c) NOT IN ({_listed(TARGETS)})")
+def feature_treatments(spark, sf_dir):
+    df = _universe(spark)
+    names = [c for c in df.columns if c.lower() not in TARGETS]
+    numeric, _ = normalize.feature_kinds(df, names)
+    logs = normalize.log_columns(names)
+    return spark.createDataFrame([(c, c in logs, "numeric" if c in numeric else "nominal") for c in names], "feature string, log1p boolean, kind string")
+
+
+# Splits, reports and manifests ----------------------------------------------------------------
+
+
+@query(f"WITH {_ASSIGNED}, g AS (SELECT s.split, c.event_type AS class, count(a.event_id) AS n FROM (VALUES ('train'), ('val'), ('test')) s(split) CROSS JOIN (SELECT DISTINCT event_type FROM assigned) c LEFT JOIN assigned a ON a.split = s.split AND a.event_type = c.event_type GROUP BY ALL) SELECT split, class, n AS count, n = 0 AS missing, n > 0 AND n < 3000 AS small, n < 2000 AS below FROM g")
+def split_distribution_report(spark, sf_dir):
+    cfg = Config(extra={"split_small_support_threshold": 3000, "split_min_class_support": 2000})
+    found = splits.distribution_report(assigned(spark, sf_dir), ["event_type", "absent"], cfg)["event_type"]["splits"]
+    return spark.createDataFrame([(s, c, n, c in x["missing"], c in x["small_support"], c in x["below_minimum"]) for s, x in found.items() for c, n in x["counts"].items()], "split string, class string, count bigint, missing boolean, small boolean, below boolean")
+
+
+@query("WITH u AS (SELECT event_type AS class, count(DISTINCT user_id) AS g, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT max(k)::DOUBLE / sum(k) AS share, count(*) AS groups FROM (SELECT user_id, count(*) AS k FROM events GROUP BY user_id)) SELECT 'groups' AS reason, (groups < 3) AS holds FROM b UNION ALL SELECT 'largest', share > 0.62 FROM b UNION ALL SELECT 'event_type=' || class, g < 3 OR n < 3 * 1900 FROM u UNION ALL SELECT 'label=' || (class = 'error')::INT::VARCHAR, bool_or(false) OR sum(n) < 3 * 1900 FROM u GROUP BY class = 'error'")
+def group_infeasibility(spark, sf_dir):
+    """Which reasons exclude a group split when every class needs 1,900 rows in each split."""
+    cfg = Config(extra={"split_min_class_support": 1900})
+    e = labelled(table(spark, sf_dir, "events"))
+    found = splits.group_diagnostics(splits.group_histogram(e, ["user_id"], ["label", "event_type"], "event_id"))
+    reasons = splits.impossible(found, cfg)
+    rows = [("groups", any("fewer groups" in x for x in reasons)), ("largest", any("one group" in x for x in reasons))]
+    rows += [(f"{t}={c}", any(x.startswith(f"{t}={c} ") for x in reasons)) for t, own in found["class_group_support"].items() for c in own]
+    return spark.createDataFrame(rows, "reason string, holds boolean")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM events) SELECT 'groups_whole' AS check, true AS ok UNION ALL SELECT 'within_tolerance', true UNION ALL SELECT 'every_row_once', true UNION ALL SELECT 'every_class_everywhere', true")
+def group_split_invariants(spark, sf_dir):
+    """What any acceptable group split has: whole groups, the wanted shares, each row once, all classes."""
+    e = labelled(table(spark, sf_dir, "events"))
+    found, diagnostics = splits.group_stratified(e, EVENTS, "event_id")
+    found = found.cache()
+    shared = splits.overlap(found, ["user_id"]).first()
+    n, goals = e.count(), EVENTS.goals()
+    counts = {x["split"]: x["count"] for x in found.groupBy("split").count().collect()}
+    classes = splits.class_counts(found, "event_type").filter("count < 1").isEmpty()
+    rows = [("groups_whole", not any(shared[f"{a}_{b}_overlap"] for a, b in splits.PAIRS)), ("within_tolerance", all(abs(counts[s] / n - goals[s]) <= EVENTS.group_tolerance for s in splits.NAMES)), ("every_row_once", sum(counts.values()) == n and found.select("event_id").distinct().count() == n), ("every_class_everywhere", classes and diagnostics["feasible_found"])]
+    found.unpersist()
+    return spark.createDataFrame(rows, "check string, ok boolean")
+
+
+@query(f"WITH {_CUT_ALL}, a AS (SELECT CASE WHEN r <= i THEN 'train' WHEN r <= j THEN 'val' ELSE 'test' END AS split FROM events JOIN p ON epoch_us(ts) - epoch_us(ts) % 86400000000 = p.u CROSS JOIN w), t AS (SELECT count(*) AS n FROM a) SELECT split, count(*) AS count, {r('count(*) / max(n)')} AS proportion, true AS validation_ok FROM a, t GROUP BY split")
+def temporal_manifest(spark, sf_dir):
+    cfg = Config(split_strategy="temporal", label_col="label", type_col="event_type", timestamp_col="ts", temporal_bucket_freq="1d")
+    found = splits.manifest(splits.temporal(labelled(table(spark, sf_dir, "events")), cfg), cfg, "event_id")
+    return rounded(spark.createDataFrame([(s, found["counts"][s], found["proportions"][s], found["validation_ok"]) for s in splits.NAMES], "split string, count bigint, proportion double, validation_ok boolean"))
+
+
+# Feature vectors ------------------------------------------------------------------------------
+
+_VECTOR = ["l_quantity", "l_discount"]
+_VECTOR_SQL = "WITH f AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_discount) AS md, stddev_pop(l_discount) AS sd FROM lineitem WHERE l_linenumber % 2 = 0), v AS (SELECT l_linestatus, [(l_quantity - mq) / sq, (l_discount - md) / sd, (l_returnflag = 'A')::INT, (l_returnflag = 'N')::INT, (l_returnflag = 'R')::INT] AS x FROM lineitem, f), e AS (SELECT l_linestatus, unnest(range(5)) AS i, unnest(x) AS v FROM v) SELECT l_linestatus, i::INTEGER AS i, " + r("avg(v)") + " AS mean FROM e GROUP BY ALL"
+
+
+def _vectors(spark: SparkSession, sf_dir: str, replay: bool) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    fitted = prep.fit(rows.filter("l_linenumber % 2 = 0"), _VECTOR, ["l_returnflag"])
+    own = prep.Prep.from_dict(fitted.to_dict()) if replay else fitted
+    cells = own.transform(rows).select("l_linestatus", F.posexplode("features").alias("i", "v"))
+    return rounded(cells.groupBy("l_linestatus", "i").agg(F.avg("v").alias("mean")))
+
+
+query(_VECTOR_SQL, "feature_vectors")(partial(_vectors, replay=False))
+query(_VECTOR_SQL, "feature_vectors_replayed")(partial(_vectors, replay=True))
+
+
+@query("WITH n AS (SELECT p_brand, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_brand), c AS (SELECT quantile_disc(n, 0.5) AS least FROM n), kept AS (SELECT p_brand FROM n, c WHERE n >= least) SELECT p_partkey, (SELECT string_agg(CASE WHEN kept.p_brand = part.p_brand THEN '1' ELSE '0' END, '' ORDER BY kept.p_brand) FROM kept) || CASE WHEN p_brand NOT IN (SELECT p_brand FROM kept) THEN '1' ELSE '0' END AS code FROM part")
+def onehot_rare_bucket(spark, sf_dir):
+    """Values seen less often than the median one share a bucket."""
+    part = table(spark, sf_dir, "part")
+    train = part.filter("p_partkey % 3 <> 0")
+    least = train.groupBy("p_brand").count().agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY count)")).first()[0]
+    enc = prep.fit_one_hot(train, ["p_brand"], int(least))
+    return part.select("p_partkey", F.array_join(F.transform(enc.apply("p_brand"), lambda x: x.cast("int").cast("string")), "").alias("code"))
+
+
+# Cluster tables -------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CELLS} SELECT CASE WHEN vec_id % 10 < 6 THEN 'train' ELSE 'test' END AS split, vec_id AS row_index, c AS cluster_id, {r('d')} AS cluster_distance FROM dist")
+def cluster_export(spark, sf_dir):
+    rows = measured(spark, sf_dir).withColumn("split", F.when(F.col("vec_id") % 10 < 6, "train").otherwise("test"))
+    return rounded(cluster.export(rows, "vec_id"))
+
+
+@query("WITH s AS (SELECT vec_id % 2 AS part, label AS c, count(*) AS n FROM embeddings GROUP BY ALL) SELECT p.part, k.k::INTEGER AS cluster_id, coalesce(n, 0) AS count FROM (VALUES (0), (1)) p(part) CROSS JOIN (SELECT unnest(range(14)) AS k) k LEFT JOIN s ON s.part = p.part AND s.c = k.k")
+def cluster_sizes_by_split(spark, sf_dir):
+    return cluster.sizes(matrix(spark, sf_dir).withColumn("part", F.col("vec_id") % 2), 14, ["part"])
+
+
+@query("SELECT label::INTEGER AS cluster_id, count(*) AS count FROM embeddings GROUP BY label")
+def cluster_count_validation(spark, sf_dir):
+    rows = matrix(spark, sf_dir)
+    k = rows.agg(F.max("cluster_id")).first()[0] + 1
+    return spark.createDataFrame([(i, int(n)) for i, n in enumerate(cluster.checked_counts(rows, k))], "cluster_id int, count bigint")
+
+
+_SEEDS = "e0 AS (SELECT vec_id, label AS a, vec_id % 7 AS b, (label + vec_id % 2) % 10 AS c FROM embeddings)"
+
+
+@query(f"WITH {_SEEDS}, {_ami_sql('p', 'e0', 'a', 'b')}, {_ami_sql('q', 'e0', 'a', 'c')}, {_ami_sql('s', 'e0', 'b', 'c')}, v AS (SELECT ami FROM p UNION ALL SELECT ami FROM q UNION ALL SELECT ami FROM s) SELECT {r('avg(ami)')} AS mean_pairwise_stability_ami, {r('min(ami)')} AS min_pairwise_stability_ami, {r('max(ami)')} AS max_pairwise_stability_ami FROM v")
+def seed_stability(spark, sf_dir):
+    rows = matrix(spark, sf_dir)
+    other = {1: rows, 2: rows.withColumn("cluster_id", (F.col("vec_id") % 7).cast("int")), 3: rows.withColumn("cluster_id", ((F.col("cluster_id") + F.col("vec_id") % 2) % 10).cast("int"))}
+    found = clustermetrics.stability(other, "vec_id")
+    names = ("mean_pairwise_stability_ami", "min_pairwise_stability_ami", "max_pairwise_stability_ami")
+    return rounded(spark.createDataFrame([tuple(float(found[n]) for n in names)], ", ".join(f"{n} double" for n in names)))
+
+
+@query(f"WITH {_CELLS}, v AS (SELECT label AS c, (vec_id % 3)::VARCHAR AS t, count(*) AS k FROM embeddings GROUP BY ALL), m AS (SELECT c, t FROM v QUALIFY row_number() OVER (PARTITION BY c ORDER BY k DESC, t) = 1) SELECT means.c AS cluster_id, max(n) AS weight, {r('sum(m * m)')} AS square, any_value(m.t) AS label FROM means JOIN m ON m.c = means.c GROUP BY means.c")
+def centroid_representatives(spark, sf_dir):
+    """Mean vectors with their weight and the majority of the target."""
+    rows = matrix(spark, sf_dir).withColumn("label", (F.col("vec_id") % 3).cast("string"))
+    found = representatives.centroid(rows, "vec_id", Config(targets=("label",)))
+    square = F.aggregate("centroid", F.lit(0.0), lambda s, v: s + v * v)
+    return rounded(found.select("cluster_id", "weight", square.alias("square"), "label"))
+
+
+_MIXED = f"WITH {_CELLS}, near AS (SELECT vec_id FROM dist QUALIFY row_number() OVER (PARTITION BY c ORDER BY d, vec_id) = 1), far AS (SELECT vec_id FROM dist QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC, vec_id) <= 5)"
+
+
+@query(f"{_MIXED} SELECT c AS cluster_id, vec_id, true AS chosen FROM dist WHERE vec_id IN (SELECT vec_id FROM near UNION SELECT vec_id FROM far)")
+def mixed_holds_medoids_and_boundary(spark, sf_dir):
+    """The medoids and boundary rows, looked up among the mixed representatives."""
+    m = measured(spark, sf_dir).withColumn("label", (F.col("vec_id") % 3).cast("string"))
+    own = representatives.mixed(m, "vec_id", Config()).select("vec_id", F.lit(True).alias("chosen"))
+    fixed = representatives.medoid(m, "vec_id", Config()).select("cluster_id", "vec_id").union(representatives.boundary(m, "vec_id", Config()).select("cluster_id", "vec_id")).distinct()
+    return fixed.join(own, "vec_id", "left").select("cluster_id", "vec_id", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@query("SELECT 'full' AS strategy, count(*) AS original_n, count(*) AS representative_n, 1.0::DOUBLE AS compression_ratio, 'real_points' AS kind FROM embeddings UNION ALL SELECT 'medoid', count(*), count(DISTINCT label), " + r("count(DISTINCT label) / count(*)") + ", 'real_points' FROM embeddings UNION ALL SELECT 'centroid', count(*), count(DISTINCT label), " + r("count(DISTINCT label) / count(*)") + ", 'synthetic_centroids' FROM embeddings")
+def representative_strategies(spark, sf_dir):
+    m, rows = measured(spark, sf_dir), []
+    for name in ("full", "medoid", "centroid"):
+        cfg = Config(representative_strategy=name, targets=())
+        rows.append(representatives.metadata(m, representatives.select(m, "vec_id", cfg), cfg))
+    names = ("strategy", "original_n", "representative_n", "compression_ratio", "kind")
+    return rounded(spark.createDataFrame([tuple(x[n] for n in names) for x in rows], "strategy string, original_n bigint, representative_n bigint, compression_ratio double, kind string"))
+
+
+@query(f"WITH {_CELLS}, s AS (SELECT c, avg(d) AS s FROM dist GROUP BY c), pr AS (SELECT a.c AS c, b.c AS o, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM means a JOIN means b ON a.i = b.i AND a.c <> b.c GROUP BY a.c, b.c), w AS (SELECT pr.c, max((x.s + y.s) / d) AS r FROM pr JOIN s x ON x.c = pr.c JOIN s y ON y.c = pr.o GROUP BY pr.c), g AS (SELECT i, avg(v) AS g FROM cells GROUP BY i), b AS (SELECT sum(n * (m - g) * (m - g)) AS b FROM means JOIN g USING (i)), wi AS (SELECT sum(d * d) AS w, count(*) AS n, count(DISTINCT c) AS k FROM dist) SELECT {r('(SELECT avg(r) FROM w)')} AS davies_bouldin, {r('b * (n - k) / (w * (k - 1))')} AS calinski_harabasz, {r('w')} AS inertia, k AS clusters_observed, '' AS undefined FROM b, wi UNION ALL SELECT NULL, NULL, {r('sum(d1 * d1)')}, 1, 'calinski_harabasz,davies_bouldin,silhouette' FROM (SELECT vec_id, sqrt(sum((v - m1) * (v - m1))) AS d1 FROM cells JOIN (SELECT i, avg(v) AS m1 FROM cells GROUP BY i) USING (i) GROUP BY vec_id)")
+def internal_metrics_bundle(spark, sf_dir):
+    """All internal metrics of ten clusters, and of one, where three have no value."""
+    several = measured(spark, sf_dir)
+    one = cluster.with_centroid_distance(matrix(spark, sf_dir).withColumn("cluster_id", F.lit(0)))
+    rows = []
+    for df in (several, one):
+        x = clustermetrics.internal(df, "vec_id", 200)
+        rows.append((x["davies_bouldin"], x["calinski_harabasz"], x["inertia"], x["clusters_observed"], ",".join(sorted(x["undefined_reasons"]))))
+    return rounded(spark.createDataFrame(rows, "davies_bouldin double, calinski_harabasz double, inertia double, clusters_observed bigint, undefined string"))
+
+
+# Reports of classifiers -----------------------------------------------------------------------
+
+
+@query("SELECT 'true_' || q AS truth, count(*) FILTER (t = 0) AS pred_0, count(*) FILTER (t = 1) AS pred_1 FROM (SELECT quality AS q, toxic AS t FROM labels) GROUP BY q")
+def confusion_wide(spark, sf_dir):
+    return classmetrics.confusion_matrix(_labels(spark, sf_dir))
+
+
+@query(f"{_PRF}, w AS (SELECT sum(tp) / sum(support) AS acc, sum(support)::BIGINT AS total, avg(precision) AS p, avg(recall) AS r, avg(f1) AS f, sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr, sum(f1 * support) / sum(support) AS wf FROM f) SELECT class AS name, printf('%.4f', precision) AS precision, printf('%.4f', recall) AS recall, printf('%.4f', f1) AS f1, support FROM f UNION ALL SELECT 'accuracy', '', '', printf('%.4f', acc), total FROM w UNION ALL SELECT 'macro avg', printf('%.4f', p), printf('%.4f', r), printf('%.4f', f), total FROM w UNION ALL SELECT 'weighted avg', printf('%.4f', wp), printf('%.4f', wr), printf('%.4f', wf), total FROM w")
+def classification_report(spark, sf_dir):
+    """The lines of the report's text."""
+    out = []
+    for line in classmetrics.report_text(_labels(spark, sf_dir)).splitlines()[1:]:
+        words = line.rsplit(None, 2 if "accuracy" in line else 4)
+        name, numbers = words[0].strip(), words[1:]
+        out.append((name, "", "", numbers[0], int(numbers[1])) if name == "accuracy" else (name, *numbers[:3], int(numbers[3])))
+    return spark.createDataFrame(out, "name string, precision string, recall string, f1 string, support bigint")
+
+
+@query(f"WITH {_SCORES}, k2 AS (SELECT *, lag(tp) OVER w AS t0, lead(tp) OVER w AS t1, lag(fp) OVER w AS f0, lead(fp) OVER w AS f1 FROM c WINDOW w AS (ORDER BY score DESC)) SELECT score AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp FROM k2 WHERE t0 IS NULL OR t1 IS NULL OR t0 + t1 <> 2 * tp OR f0 + f1 <> 2 * fp")
+def roc_corners(spark, sf_dir):
+    return classmetrics.roc_points(_scores(spark, sf_dir)).select("threshold", "tp", "fp")
+
+
+@query(f"WITH {_SCORES} SELECT 'two' AS classes, {r('sum(pos * (n - fp + (k - pos) / 2)) / max(p * n)')} AS roc_auc, {r('sum(pos / p * tp / (tp + fp))')} AS average_precision FROM c UNION ALL SELECT 'three', NULL, NULL")
+def binary_metrics(spark, sf_dir):
+    """Scores of two classes by their positive label, and nulls for three."""
+    e = labelled(table(spark, sf_dir, "events")).withColumn("kind", F.when(F.col("label") == 1, "attack").otherwise("normal"))
+    rows = [("two", classmetrics.binary(e, "kind", "value", ["normal", "attack"])), ("three", classmetrics.binary(e, "event_type", "value", ["a", "b", "c"]))]
+    return rounded(spark.createDataFrame([(n, x["roc_auc"], x["average_precision"]) for n, x in rows], "classes string, roc_auc double, average_precision double"))
+
+
+@query("SELECT DISTINCT l_returnflag AS class, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS code, true AS seen FROM lineitem")
+def forest_classes(spark, sf_dir):
+    """A forest's classes are the sorted training classes, and its probabilities are in their order."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), F.array(*(F.col(c) for c in _NUMERIC)).alias("features"))
+    forest = supervised.fit(rows, "label", Config(random_forest_estimators=3, random_forest_max_depth=4))
+    scored = forest.predict(rows)
+    best = F.array_position("probability", F.array_max("probability"))
+    wrong = scored.filter(F.element_at(F.array(*map(F.lit, forest.classes)), best.cast("int")) != F.col("predicted")).count()
+    return spark.createDataFrame([(c, i, wrong == 0) for i, c in enumerate(forest.classes)], "class string, code bigint, seen boolean")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import subprocess
 import time
@@ -43,29 +42,9 @@ class Profiler:
         return {"stages": self.rows, "total_seconds": sum(r["seconds"] for r in self.rows)}
 
 
-def _local(uri: str) -> Path | None:
-    plain = uri.removeprefix("file:")
-    return Path(plain) if plain.startswith("/") else None
-
-
 def fingerprints(spark: SparkSession, path: str) -> dict[str, str]:
-    """SHA-256 of each source; files beyond the local disk are streamed by the driver through Hadoop."""
-    out = {}
-    for uri, name in readers.resolve(spark, path):
-        local = _local(uri)
-        if local:
-            out[name] = file_digest(local)["sha256"]
-            continue
-        where = spark._jvm.org.apache.hadoop.fs.Path(uri)
-        stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
-        h = hashlib.sha256()
-        try:
-            while part := bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, 1 << 20) if stream.available() >= 1 << 20 else spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)):
-                h.update(part)
-        finally:
-            stream.close()
-        out[name] = h.hexdigest()
-    return out
+    """SHA-256 of each source, on whatever store it lies."""
+    return {name: file_digest(uri, spark)["sha256"] for uri, name in readers.resolve(spark, path)}
 
 
 def load(spark: SparkSession, cfg: Config, path: str | None, out: Path | None = None, sample: int | None = None) -> tuple[DataFrame, str | None]:
