@@ -7,8 +7,6 @@ theirs is in the table, and its probability, interpolated through all orders, fo
 What the executors get is sorted hash arrays of all 5-grams' log10 probabilities, dealt into blocks
 of about ``block_entries``; a task holds one block at a time.  No n-gram is left out at any size.
 
-fit() makes a pruned model of bounded size for other texts; quality() and keep_clean() don't use it.
-
 Each language gets a band of log-perplexity around its median, some robust standard deviations
 wide on either side and wider for short texts; documents outside are rejected.
 """
@@ -19,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import textkernel as tk
 from rivulet.llm.hasharray import HashArray
-from rivulet.llm.runtime import checkpointed, packs, texts, tune, written
+from rivulet.llm.runtime import Rows, checkpointed, few, packs, texts, tune, written
 
 ORDER = 5
 U64 = np.uint64
@@ -43,7 +40,6 @@ _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 class Rules:
     """Production parameters."""
 
-    max_entries: int = 1 << 20
     block_entries: int = 1 << 21
     width_low: float = 4.0
     width_high: float = 3.0
@@ -128,41 +124,20 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return checkpointed(out)
 
 
-@dataclass
-class Model:
-    """What the executors get: for each order the n-grams' and contexts' sorted hash arrays."""
-
-    grams: dict[int, HashArray]
-    weights: dict[int, HashArray]
-
-    def entries(self) -> int:
-        return sum(map(len, (*self.grams.values(), *self.weights.values())))
-
-
-def _hashed(n: int, keys: np.ndarray) -> np.ndarray:
-    """A bijection for each order and so without collisions."""
-    return tk.mix(keys + U64(n * 0x9E3779B97F4A7C15 % (1 << 64)))
-
-
-def _suffix(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> U64(_GRAM_BITS)) << U64(_GRAM_BITS)) | (keys & U64((1 << 8 * n) - 1))
+def _hashed(keys: np.ndarray) -> np.ndarray:
+    """A bijection and so without collisions."""
+    return tk.mix(keys + U64(ORDER))
 
 
-def _discounts(counts: DataFrame) -> tuple[pd.DataFrame, dict[tuple[int, int], list[float]]]:
-    """How many n-grams have each count up to 64, and each order's and language's discounts."""
-    tag = F.shiftrightunsigned("gram", _GRAM_BITS)
-    small = counts.groupBy("n", tag.alias("tag"), F.least("c", F.lit(64)).alias("c")).agg(F.count("*").alias("k")).toPandas()
-    discounts = {}
-    for (n, t), part in small.groupby(["n", "tag"]):
-        k = dict(zip(part.c.tolist(), part.k.tolist()))
-        n1, n2, n3, n4 = (k.get(i, 0) for i in (1, 2, 3, 4))
-        if n1 and n2 and n3 and n4:
-            y = n1 / (n1 + 2 * n2)
-            d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-        else:  # too few n-grams to estimate them
-            d = [0.5, 0.75, 0.9]
-        discounts[int(n), int(t)] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
-    return small, discounts
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(n, tag, d1, d2, d3): each order's and language's discounts of counts 1, 2 and 3 or more."""
+    n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
+    rows = counts.groupBy("n", F.shiftrightunsigned("gram", _GRAM_BITS).alias("tag")).agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
+    y = F.try_divide(n1, n1 + 2 * n2)
+    estimates = [1 - 2 * y * F.try_divide(n2, n1), 2 - 3 * y * F.try_divide(n3, n2), 3 - 4 * y * F.try_divide(n4, n3)]
+    enough = (n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0)  # else too few n-grams to estimate them
+    d = [F.greatest(F.lit(0.05), F.least(F.lit(i + 0.95), F.when(enough, x).otherwise(plain))).alias(f"d{i + 1}") for i, (x, plain) in enumerate(zip(estimates, (0.5, 0.75, 0.9)))]
+    return rows.select("n", "tag", *d)
 
 
 def _context() -> Column:
@@ -175,10 +150,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
 
     A context or a suffix has at most 256 n-grams, so no key of the window or the joins is hot.
     """
-    _, discounts = _discounts(counts)
-    rows = [(n, t, *d) for (n, t), d in discounts.items()]
-    side = counts.sparkSession.createDataFrame(rows, "n int, tag long, d1 double, d2 double, d3 double")
-    side = F.broadcast(side) if len(rows) <= 4096 * ORDER else side
+    side = few(checkpointed(_discounts(counts)), 4096 * ORDER)
     own = counts.withColumn("tag", F.shiftrightunsigned("gram", _GRAM_BITS)).join(side, ["n", "tag"])
     own = own.select("n", "gram", "c", _context().alias("context"), F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
     w = Window.partitionBy("n", "context")
@@ -205,7 +177,7 @@ def blocks(table: DataFrame, rules: Rules = Rules()) -> list[Broadcast]:
     for i in range(n):
         found = table.filter(dealt == i).toArrow()
         keys, v = (found.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in ("gram", "v"))
-        out.append(table.sparkSession.sparkContext.broadcast(HashArray(_hashed(ORDER, keys.view(U64)), v)))
+        out.append(table.sparkSession.sparkContext.broadcast(HashArray(_hashed(keys.view(U64)), v)))
     return out
 
 
@@ -215,7 +187,7 @@ def _looked_up(held: list[Broadcast], keys: np.ndarray) -> np.ndarray:
     block = np.mod(np.mod(keys.view(np.int64), _PRIME) * _FACTOR, _PRIME) % len(held) if len(held) > 1 else None
     for i, b in enumerate(held):
         own = slice(None) if block is None else np.flatnonzero(block == i)
-        found, out[own] = b.value.get(_hashed(ORDER, keys[own]))
+        found, out[own] = b.value.get(_hashed(keys[own]))
         if not found.all():
             raise ValueError("a text has changed since its n-grams were counted")
         if block is not None and b._path is not None:
@@ -223,83 +195,6 @@ def _looked_up(held: list[Broadcast], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(counts: DataFrame, rules: Rules = Rules()) -> Model:
-    """A model of gram_counts()'s table for any text, also one that was not counted.
-
-    Discounts need the counts of counts, normalisers the sum over each context; both are
-    aggregates over all n-grams.  The driver gets the n-grams that are kept (at most max_entries)
-    and the contexts' sums of those; the probability of the others goes to back-off.
-    """
-    small, discounts = _discounts(counts)
-    cut = 1
-    by_count = small[small.n > 2].groupby("c").k.sum()
-    while cut < 64 and by_count[by_count.index >= cut].sum() > rules.max_entries // 2:
-        cut += 1
-    least = F.lit(cut)
-    while cut == 64 and counts.filter((F.col("n") > 2) & (F.col("c") >= least)).count() > rules.max_entries // 2:
-        least = least * 2
-    kept = (F.col("n") <= 2) | (F.col("c") >= least)
-    sums = (
-        counts.groupBy("n", _context().alias("context"))
-        .agg(F.sum("c").alias("total"), *(F.count_if(kept & test).alias(f"k{i}") for i, test in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") >= 3))), F.sum(F.when(kept, F.col("c")).otherwise(0)).alias("held"))
-        .filter(F.col("held") > 0)
-    )
-
-    def arrays(df: DataFrame) -> dict[str, np.ndarray]:
-        found = df.toArrow()
-        return {c: found.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in found.column_names}
-
-    g, s = arrays(counts.filter(kept)), arrays(sums)
-    model, below = Model({}, {}), None
-    for n in range(1, ORDER + 1):
-        own, ctx = g["n"] == n, s["n"] == n
-        keys, c = g["gram"][own].view(U64), g["c"][own].astype(float)
-        contexts, total, held = s["context"][ctx].view(U64), s["total"][ctx].astype(float), s["held"][ctx].astype(float)
-        order = np.argsort(contexts)
-        contexts, total, held = contexts[order], total[order], held[order]
-        k = np.stack([s[f"k{i}"][ctx][order] for i in (1, 2, 3)])
-        d_ctx = np.array([discounts[n, int(t)] for t in (contexts >> U64(_GRAM_BITS)).tolist()]).reshape(-1, 3)
-        # what the kept n-grams leave of a context's probability
-        gamma = (total - held + (d_ctx.T * k).sum(0)) / total
-        gram = keys & U64((1 << _GRAM_BITS) - 1)
-        at = np.searchsorted(contexts, ((keys >> U64(_GRAM_BITS)) << U64(_GRAM_BITS)) | (gram >> U64(8)))
-        d = d_ctx[at, np.minimum(c, 3).astype(int) - 1] if len(keys) else np.zeros(0)
-        if below is None:
-            lower = np.full(len(keys), 1 / 256)
-        else:
-            ok, v = below.get(_hashed(n - 1, _suffix(keys, n - 1)))
-            lower = _backed_off(model, n - 1, _suffix(keys, n - 1), ok, v)
-        p = (c - d) / total[at] + gamma[at] * lower if len(keys) else np.zeros(0)
-        below = model.grams[n] = HashArray(_hashed(n, keys), np.log10(p).astype(np.float32))
-        model.weights[n] = HashArray(_hashed(n, contexts), np.log10(gamma).astype(np.float32))
-    return model
-
-
-def _backed_off(model: Model, n: int, keys: np.ndarray, found: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Probabilities of n-grams, of which some were found already."""
-    out = value.astype(float)
-    if not found.all():
-        out[~found] = _log_p(model, keys[~found], n)
-    return 10.0**out
-
-
-def _log_p(model: Model, keys: np.ndarray, n: int = ORDER) -> np.ndarray:
-    """log10 p of each packed n-gram's last byte after the others."""
-    out, todo = np.zeros(len(keys)), np.arange(len(keys))
-    for m in range(n, 0, -1):
-        own = _suffix(keys[todo], m)
-        found, value = model.grams[m].get(_hashed(m, own))
-        out[todo] += value
-        todo, own = todo[~found], own[~found]
-        if not len(todo):
-            break
-        context = ((own >> U64(_GRAM_BITS)) << U64(_GRAM_BITS)) | ((own & U64((1 << _GRAM_BITS) - 1)) >> U64(8))
-        out[todo] += model.weights[m].get(_hashed(m, context))[1]
-        if m == 1:
-            out[todo] += np.log10(1 / 256)
-    return out
-
-
 def base_counts(text: np.ndarray, window: int) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
     starts, ends = tk.spans(text, tk.WORD)
@@ -324,88 +219,101 @@ def base_counts(text: np.ndarray, window: int) -> tuple[int, int, int, int, int]
 _SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, base_failed boolean, log_ppl double"
 
 
-def scored(docs: DataFrame, held: list[Broadcast], rules: Rules, carry: list[str]) -> DataFrame:
-    """The base counts and log10 perplexity (a byte) of each row, after the columns to carry.
+def scored(docs: DataFrame, held: list[Broadcast], rules: Rules, rows: Rows | None = None) -> DataFrame:
+    """The base counts and log10 perplexity (a byte) of each row: doc_id, lang and columns q_*.
 
-    docs has the columns text and lang among others; the result's own columns are _q_*.
+    docs has doc_id, text and lang; with rows it is their frame, and row is carried along.
     """
     names = [x.split()[0] for x in _SCORED.split(", ")]
+    place = {c: rows.place(c) for c in ("text", "lang")} if rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, int] = {}
         for batch in batches:
-            column, langs = batch.column("_q_text"), batch.column("_q_lang").to_pylist()
-            rows = list(texts(column))
+            own = (lambda name: batch.column("row").field(place[name])) if place else batch.column  # noqa: B023
+            column, langs = own("text"), own("lang")
+            tags_of = np.array([known.setdefault(x, lang_tag(x)) for x in langs.to_pylist()], U64)
+            every = list(texts(column))
             log_ppl: list[float | None] = []
             for lo, hi in packs(column, 1 << 20 if len(held) == 1 else 1 << 22):
-                tags = np.array([known.setdefault(x, lang_tag(x)) for x in langs[lo:hi]], U64)
-                keys, _, lens = _grams(rows[lo:hi], tags)
+                keys, _, lens = _grams(every[lo:hi], tags_of[lo:hi])
                 sums = np.r_[0.0, np.cumsum(_looked_up(held, keys))]
                 ends = np.cumsum(lens)
                 log_ppl += [-(sums[e] - sums[e - n]) / n if n else None for e, n in zip(ends.tolist(), lens.tolist())]
-            base = [base_counts(r, rules.window) for r in rows]
+            base = [base_counts(r, rules.window) for r in every]
             failed = [b[0] < rules.min_words or 100 * b[4] > rules.max_repeat_percent * b[0] for b in base]
-            cols = [pa.array([b[i] for b in base], pa.int64()) for i in range(5)] + [pa.array([len(r) for r in rows], pa.int64()), pa.array(failed, pa.bool_()), pa.array(log_ppl, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + cols, carry + [f"_q_{c}" for c in names])
+            cols = [pa.array([b[i] for b in base], pa.int64()) for i in range(5)] + [pa.array([len(r) for r in every], pa.int64()), pa.array(failed, pa.bool_()), pa.array(log_ppl, pa.float64())]
+            carried = {"row": batch.column("row"), "lang": langs} if place else {"doc_id": batch.column("doc_id"), "lang": langs}
+            yield pa.RecordBatch.from_arrays([*carried.values(), *cols], [*carried, *(f"q_{c}" for c in names)])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in carry) + ", ".join(f"_q_{x}" for x in _SCORED.split(", "))
-    plain = docs.select(*carry, F.col("text").alias("_q_text"), F.col("lang").alias("_q_lang"))
-    return plain.mapInArrow(run, schema)
+    more = ", ".join(f"q_{x}" for x in _SCORED.split(", "))
+    if rows:
+        return rows.frame.mapInArrow(run, rows.schema(f"lang string, {more}"))
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {more}")
 
 
-def _quantiles(rows: DataFrame, lang: str, value: str, shares: dict[str, float]) -> DataFrame:
+def _quantiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """Each language's quantiles of a column over the rows that passed the base rules.
 
     Values are counted in steps first, so a language of any size is summed before it is shuffled.
     """
-    usable = rows.filter(~F.col("_q_base_failed") & F.col(value).isNotNull())
-    hist = usable.groupBy(F.col(lang).alias("_b_lang"), F.floor(F.col(value) / STEP).alias("s")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy("_b_lang")
+    usable = rows.filter(~F.col("q_base_failed") & F.col(value).isNotNull())
+    hist = usable.groupBy(F.col("lang").alias("b_lang"), F.floor(F.col(value) / STEP).alias("s")).agg(F.count("*").alias("k"))
+    w = Window.partitionBy("b_lang")
     run = hist.withColumn("upto", F.sum("k").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("k").over(w))
     at = lambda share: (F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("s"))) + 0.5) * STEP
-    return run.groupBy("_b_lang").agg(*(at(x).alias(name) for name, x in shares.items()))
+    return run.groupBy("b_lang").agg(*(at(x).alias(name) for name, x in shares.items()))
 
 
-def _with_lang(rows: DataFrame, lang: str, per_lang: DataFrame) -> DataFrame:
+def _with_lang(rows: DataFrame, per_lang: DataFrame) -> DataFrame:
     """Join a row for each language; broadcast if there are few."""
-    side = F.broadcast(per_lang) if per_lang.limit(4097).count() <= 4096 else per_lang
-    return rows.join(side, F.col(lang).eqNullSafe(F.col("_b_lang")), "left").drop("_b_lang")
+    return rows.join(few(per_lang, 4096), F.col("lang").eqNullSafe(F.col("b_lang")), "left").drop("b_lang")
 
 
-def _judged(rows: DataFrame, lang: str, rules: Rules) -> DataFrame:
-    """Adds _b_low and _b_high, each row's bounds of log10 perplexity, and _q_kept.
+def _judged(rows: DataFrame, rules: Rules) -> DataFrame:
+    """Adds b_low and b_high, each row's bounds of log10 perplexity, and q_kept.
 
     The mean over few bytes varies more, so a band widens as sqrt(1 + settle_bytes / bytes).
     """
-    rows = _with_lang(rows, lang, _quantiles(rows, lang, "_q_log_ppl", {"_b_mid": 0.5}))
-    settle = F.sqrt(1 + F.lit(rules.settle_bytes) / F.greatest("_q_n_bytes", F.lit(1)))
-    rows = rows.withColumn("_b_dev", (F.col("_q_log_ppl") - F.col("_b_mid")) / settle)
-    rows = _with_lang(rows, lang, _quantiles(rows, lang, "_b_dev", {"_b_q1": 0.25, "_b_q3": 0.75}))
-    spread = F.greatest((F.col("_b_q3") - F.col("_b_q1")) / 1.349, F.lit(rules.least_spread)) * settle
-    rows = rows.withColumn("_b_low", F.col("_b_mid") - spread * rules.width_low).withColumn("_b_high", F.col("_b_mid") + spread * rules.width_high)
-    inside = (F.col("_q_log_ppl") >= F.col("_b_low")) & (F.col("_q_log_ppl") <= F.col("_b_high"))
-    return rows.withColumn("_q_kept", ~F.col("_q_base_failed") & F.coalesce(inside, F.lit(True)))
+    rows = _with_lang(rows, _quantiles(rows, "q_log_ppl", {"b_mid": 0.5}))
+    settle = F.sqrt(1 + F.lit(rules.settle_bytes) / F.greatest("q_n_bytes", F.lit(1)))
+    rows = rows.withColumn("b_dev", (F.col("q_log_ppl") - F.col("b_mid")) / settle)
+    rows = _with_lang(rows, _quantiles(rows, "b_dev", {"b_q1": 0.25, "b_q3": 0.75}))
+    spread = F.greatest((F.col("b_q3") - F.col("b_q1")) / 1.349, F.lit(rules.least_spread)) * settle
+    rows = rows.withColumn("b_low", F.col("b_mid") - spread * rules.width_low).withColumn("b_high", F.col("b_mid") + spread * rules.width_high)
+    inside = (F.col("q_log_ppl") >= F.col("b_low")) & (F.col("q_log_ppl") <= F.col("b_high"))
+    return rows.withColumn("q_kept", ~F.col("q_base_failed") & F.coalesce(inside, F.lit(True)))
+
+
+def _released(held: list[Broadcast]) -> None:
+    for b in held:
+        b.destroy()
 
 
 def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per row of docs: doc_id, the base counts, base_failed, log_ppl, the band and kept.
+    """One row per row of docs: doc_id, the base counts, base_failed, kept; then n_bytes, log_ppl
+    and the band.
 
-    A null or empty text has no words, no perplexity and fails the base rules; a null language is
-    a language of its own; equal texts of a language get equal verdicts; no rows give no rows.
-    Extra columns of docs are ignored.
+    A null or empty text has no words, no perplexity and fails the base rules; a long text is
+    scored whole; a null language is a language of its own; equal texts of a language get equal
+    verdicts, and a text on the band's edge is kept; no rows give no rows.  Extra columns of docs
+    are ignored, whatever their names.
     """
     tune(docs.sparkSession)
-    plain = docs.select("doc_id", "text", "lang")
+    plain = Rows(docs).select("doc_id", "text", "lang")
     held = blocks(probabilities(gram_counts(plain)), rules)
-    rows = checkpointed(scored(plain, held, rules, ["doc_id", "lang"]))
-    out = _judged(rows, "lang", rules)
+    rows = checkpointed(scored(plain, held, rules))
+    _released(held)
     names = [x.split()[0] for x in _SCORED.split(", ")]
-    return out.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in names), F.col("_b_low").alias("band_low"), F.col("_b_high").alias("band_high"), F.col("_q_kept").alias("kept"))
+    shown = {f"q_{c}": c for c in (*names[:5], "base_failed", "kept", "n_bytes", "log_ppl")} | {"b_low": "band_low", "b_high": "band_high"}
+    return _judged(rows, rules).select("doc_id", *(F.col(k).alias(v) for k, v in shown.items()))
 
 
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs, with all their columns, that quality() keeps."""
     tune(docs.sparkSession)
-    held = blocks(probabilities(gram_counts(docs.select("text", "lang"))), rules)
-    rows = written(scored(docs, held, rules, docs.columns), "quality")
-    return _judged(rows, "lang", rules).filter("_q_kept").select(*docs.columns)
+    own = Rows(docs)
+    held = blocks(probabilities(gram_counts(own.select("text", "lang"))), rules)
+    rows = written(scored(docs, held, rules, own), "quality")
+    _released(held)
+    return own.unpacked(_judged(rows, rules).filter("q_kept"))
