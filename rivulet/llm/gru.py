@@ -27,7 +27,7 @@ class Shape:
     window: int = 24
     score_lanes: int = 256
     train_lanes: int = 256
-    rate: float = 0.08
+    rate: float = 0.3
     seed: int = 3
 
     @property
@@ -74,92 +74,133 @@ class Gru:
             out[name], at = flat[at : at + n].reshape(size).copy(), at + n
         return cls(shape, out)
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state, and what the gradient needs."""
+    def step(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Next state, and what the gradient needs: both gates, the candidate and its past part.
+
+        own: the rows of g of the inputs.
+        """
         n = self.shape.hidden
-        own, past = self.g[x], h @ self.u
-        gates = 1 / (1 + np.exp(-(own[:, : 2 * n] + past[:, : 2 * n])))
-        z, r = gates[:, :n], gates[:, n:]
-        un = past[:, 2 * n :]
-        new = np.tanh(own[:, 2 * n :] + r * un)
-        return new + z * (h - new), z, r, new, un
+        gates = h @ self.u
+        un = gates[:, 2 * n :].copy()
+        gates[:, : 2 * n] += own[:, : 2 * n]
+        zr = np.negative(gates[:, : 2 * n])
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r = zr[:, :n], zr[:, n:]
+        new = r * un
+        new += own[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, zr, new, un
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray] | None]:
-        """Natural log p of tokens y after states h; with grad the loss's gradients too."""
-        s = self.shape
+        """Natural log p of tokens y after states h; with grad the loss's gradients too.
+
+        Rows are sorted by class, so that each class's words are one block of rows.
+        """
+        s, size = self.shape, len(y)
         kind = np.where(y < s.words, y // s.per_class, y - s.words + s.classes).astype(np.uint8)
-        e, picked, total = _softmax(h @ self.wc + self.bc, kind)
-        out = picked - np.log(total)
-        d = None
-        if grad:
-            e /= total[:, None]
-            e[np.arange(len(y)), kind] -= 1
-            d = {"wc": h.T @ e, "bc": e.sum(0), "h": e @ self.wc.T, "ww": np.zeros_like(self.ww), "bw": np.zeros_like(self.bw)}
         order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(s.classes + 1))
-        for c in range(s.classes):
-            own = order[bounds[c] : bounds[c + 1]]
-            if not len(own):
-                continue
-            hc, word = h[own], y[own] - c * s.per_class
-            e, picked, total = _softmax(hc @ self.ww[c] + self.bw[c], word)
-            out[own] += picked - np.log(total)
-            if grad:
-                e /= total[:, None]
-                e[np.arange(len(own)), word] -= 1
-                d["ww"][c], d["bw"][c] = hc.T @ e, e.sum(0)
-                d["h"][own] += e @ self.ww[c].T
-        return out, d
-
-
-def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """exp of the logits, the logit at one place of each row, and the sum of exp.
-
-    States lie within -1 and 1, so logits are small; only if one isn't, rows are shifted.
+        kind, y = kind[order], y[order]
+        h = np.concatenate([h[order], np.ones((size, 1), h.dtype)], 1)  # the last feature is the bias
+        wc = np.vstack([self.wc, self.bc])
+        each, own = _softmax(h @ wc, kind, _steep(wc), grad)
+        upto = int(np.searchsorted(kind, s.classes))  # the others are rare classes
+        bounds = np.searchsorted(kind, np.arange(s.classes + 1)).tolist()
+        ww = np.concatenate([self.ww, self.bw[:, None, :]], 1)
+        blocks = [(c, lo, hi) for c, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])) if hi > lo]
+        inner = np.empty((upto, s.per_class), each.dtype)
+        for c, lo, hi in blocks:
+            np.matmul(h[lo:hi], ww[c], out=inner[lo:hi])
+        word = y[:upto] - kind[:upto].astype(y.dtype) * s.per_class
+        inner, found = _softmax(inner, word, _steep(ww), grad)
+        own[:upto] += found
+        out = np.empty(size, own.dtype)
+        out[order] = own
+        if not grad:
+            return out, None
+        each[np.arange(size), kind] -= 1
+        inner[np.arange(upto), word] -= 1
+        d_wc, d_ww = h.T @ each, np.zeros_like(ww)
+        d_h = each @ self.wc.T
+        for c, lo, hi in blocks:
+            np.matmul(h[lo:hi].T, inner[lo:hi], out=d_ww[c])
+            d_h[lo:hi] += inner[lo:hi] @ self.ww[c].T
+        back = np.empty_like(d_h)
+        back[order] = d_h
+        return out, {"wc": d_wc[:-1], "bc": d_wc[-1], "ww": d_ww[:, :-1], "bw": d_ww[:, -1], "h": back}
+
+
+def _steep(w: np.ndarray) -> bool:
+    """Whether logits may be large; states lie within -1 and 1, so the weights' sums bound them."""
+    return bool(np.abs(w).sum(-2).max() > 40)
+
+
+def _softmax(logits: np.ndarray, at: np.ndarray, steep: bool, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The softmax of the logits if the whole is asked for, and its log at one place of each row.
+
+    Only rows whose logits may be large are shifted.
     """
-    if logits.size and np.abs(logits).max() > 40:
+    if steep and logits.size:
         logits -= logits.max(1, keepdims=True)
     picked = logits[np.arange(len(at)), at]
     e = np.exp(logits, out=logits)
-    return e, picked, e @ np.ones(e.shape[1], e.dtype)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    if whole:
+        e *= (1 / total)[:, None]
+    return e, picked - np.log(total)
 
 
 @dataclass
 class Lanes:
-    """Texts dealt to lanes: tokens as inputs and targets by step, longest lane first."""
+    """Texts dealt to lanes, longest lane first: the cells of all steps one after the other, so that
+    one long text beside short ones takes no room in the other lanes."""
 
     x: np.ndarray
     y: np.ndarray
     fresh: np.ndarray
+    #: The text of each cell.
+    owner: np.ndarray
+    #: Lanes of each step, and where its cells begin.
     active: np.ndarray
-    #: Of each text its lane, first step and length.
-    where: np.ndarray
+    first: np.ndarray
+
+    def cells(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Steps lo to hi as a table of cells, and which of them there are."""
+        lane = np.arange(int(self.active[lo]))
+        on = lane < self.active[lo:hi, None]
+        return np.where(on, self.first[lo:hi, None] + lane, 0), on
 
 
 def deal(texts: list[np.ndarray], lanes: int, end: int) -> Lanes:
     """Longest first, each to the lane with the least; a text's first input is the end token."""
-    lens = np.array([len(t) for t in texts])
+    lens = np.array([len(t) for t in texts], np.int64)
     lanes = max(1, min(lanes, len(texts)))
-    heap, rows = [(0, i) for i in range(lanes)], np.zeros((len(texts), 3), np.int64)
+    heap, rows = [(0, i) for i in range(lanes)], []
+    total = np.zeros(lanes, np.int64)
     for t in np.argsort(-lens, kind="stable").tolist():
         at, lane = heapq.heappop(heap)
-        rows[t] = lane, at, lens[t]
-        heapq.heappush(heap, (at + int(lens[t]), lane))
-    total = np.zeros(lanes, np.int64)
-    np.add.at(total, rows[:, 0], lens)
+        rows.append((t, lane, at))
+        total[lane] = at + int(lens[t])
+        heapq.heappush(heap, (int(total[lane]), lane))
     rank = np.empty(lanes, np.int64)
     rank[np.argsort(-total, kind="stable")] = np.arange(lanes)
-    rows[:, 0] = rank[rows[:, 0]]
-    steps = int(total.max())
-    x, y, fresh = np.zeros((lanes, steps), np.int32), np.zeros((lanes, steps), np.int32), np.zeros((lanes, steps), bool)
-    for t, (lane, at, n) in zip(texts, rows.tolist()):
+    ends = np.sort(total)
+    active = lanes - np.searchsorted(ends, np.arange(int(ends[-1])), side="right")
+    first = np.cumsum(active) - active
+    size = int(lens.sum())
+    x, y, owner, fresh = (np.zeros(size, kind) for kind in (np.int32, np.int32, np.int32, bool))
+    for t, lane, at in rows:
+        n = len(texts[t])
         if n:
-            x[lane, at] = end
-            x[lane, at + 1 : at + n] = t[:-1]
-            y[lane, at : at + n] = t
-            fresh[lane, at] = True
-    active = (np.sort(total)[::-1][:, None] > np.arange(steps)).sum(0) if steps else np.zeros(0, int)
-    return Lanes(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), np.ascontiguousarray(fresh.T), active, rows)
+            where = first[at : at + n] + rank[lane]
+            x[where[0]] = end
+            x[where[1:]] = texts[t][:-1]
+            y[where], owner[where], fresh[where[0]] = texts[t], t, True
+    return Lanes(x, y, fresh, owner, active, first)
 
 
 def score(net: Gru, texts: list[np.ndarray], end: int) -> np.ndarray:
@@ -167,75 +208,101 @@ def score(net: Gru, texts: list[np.ndarray], end: int) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     s, held = net.shape, deal(texts, net.shape.score_lanes, end)
-    steps, lanes = held.x.shape
-    logp = np.zeros((steps, lanes))
-    h = np.zeros((lanes, s.hidden), np.float32)
+    steps = len(held.active)
+    logp = np.zeros(len(held.x))
+    h = np.zeros((int(held.active[0]) if steps else 0, s.hidden), net.u.dtype)
     for lo in range(0, steps, s.window):
         hi = min(lo + s.window, steps)
-        states = np.zeros((hi - lo, int(held.active[lo]), s.hidden), np.float32)
-        for t in range(lo, hi):
-            a = int(held.active[t])
+        cells, on = held.cells(lo, hi)
+        own, fresh = net.g.take(held.x[cells], axis=0), held.fresh[cells] & on
+        states = np.zeros((*on.shape, s.hidden), net.u.dtype)
+        for t, a in enumerate(held.active[lo:hi].tolist()):
             h = h[:a]
-            if held.fresh[t, :a].any():
-                h = h * ~held.fresh[t, :a, None]
-            h = net.step(h, held.x[t, :a])[0]
-            states[t - lo, :a] = h
-        on = np.arange(states.shape[1])[None, :] < held.active[lo:hi, None]
-        part = np.zeros(on.shape)
-        part[on] = net.outputs(states[on], held.y[lo:hi, : states.shape[1]][on])[0]
-        logp[lo:hi, : states.shape[1]] = part
-    upto = np.vstack([np.zeros(lanes), np.cumsum(logp, 0)])
-    lane, at, n = held.where.T
-    return upto[at + n, lane] - upto[at, lane]
+            if fresh[t, :a].any():
+                h = h * ~fresh[t, :a, None]
+            h = net.step(h, own[t, :a])[0]
+            states[t, :a] = h
+        cells = cells[on]
+        logp[cells] = net.outputs(states[on], held.y[cells])[0]
+    return np.bincount(held.owner, logp, len(texts)) if len(logp) else np.zeros(len(texts))
 
 
 class Trainer:
     """Truncated backpropagation: gradients stop at a window's start, the state does not."""
 
-    def __init__(self, net: Gru):
+    def __init__(self, net: Gru, squares: Gru | None = None):
+        """squares: the sums of squared gradients so far, in the weights' own form."""
         self.net = net
-        self.squares = {n: np.full_like(getattr(net, n), 1e-2) for n in net.NAMES}
+        self.squares = {n: getattr(squares, n) if squares else np.full_like(getattr(net, n), 1e-2) for n in net.NAMES}
+
+    def to_bytes(self) -> bytes:
+        return self.net.to_bytes() + Gru(self.net.shape, self.squares).to_bytes()
+
+    @classmethod
+    def from_bytes(cls, shape: Shape, raw: bytes) -> Trainer:
+        half = len(raw) // 2
+        return cls(Gru.from_bytes(shape, raw[:half]), Gru.from_bytes(shape, raw[half:]))
 
     def gradients(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, on: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss and gradients over a window, and the state after it; h is the state before it."""
         net, n = self.net, self.net.shape.hidden
         steps, lanes = x.shape
-        states, kept, saved = np.zeros((steps, lanes, n), np.float32), [], []
+        size = (steps, lanes, n)
+        kind = net.u.dtype
+        states, past, new, un = (np.empty(size, kind) for _ in range(4))
+        zr = np.empty((steps, lanes, 2 * n), kind)
+        any_fresh, own = fresh.any(1), net.g.take(x, axis=0)
         for t in range(steps):
-            keep = (~fresh[t])[:, None].astype(np.float32)
-            past = h * keep
-            h, z, r, new, un = net.step(past, x[t])
+            past[t] = h
+            if any_fresh[t]:
+                past[t][fresh[t]] = 0
+            h, zr[t], new[t], un[t] = net.step(past[t], own[t])
             states[t] = h
-            kept.append(keep)
-            saved.append((past, z, r, new, un))
-        logp, d = net.outputs(states[on], y[on], True)
-        d_states = np.zeros_like(states)
-        d_states[on] = d.pop("h")
-        u, owns = np.zeros_like(net.u), np.zeros((steps, lanes, 3 * n), np.float32)
-        back = np.zeros((lanes, n), np.float32)
+        full = bool(on.all())
+        logp, d = net.outputs(states.reshape(-1, n) if full else states[on], y.ravel() if full else y[on], True)
+        d_states = d.pop("h").reshape(size) if full else np.zeros(size, kind)
+        if not full:
+            d_states[on] = d.pop("h")
+        # what a state's gradient is multiplied by on its way to z, the candidate and r
+        z, r = zr[..., :n], zr[..., n:]
+        to_z = (past - new) * z * (1 - z)
+        to_new = (1 - z) * (1 - new * new)
+        to_r = un * r * (1 - r)
+        through, d_new = np.empty((steps, lanes, 3 * n), kind), np.empty(size, kind)
+        back, turned = np.zeros((lanes, n), kind), np.ascontiguousarray(net.u.T)
         for t in range(steps - 1, -1, -1):
-            past, z, r, new, un = saved[t]
-            dh = d_states[t] + back
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_z = dh * (past - new) * z * (1 - z)
-            d_r = d_new * un * r * (1 - r)
-            owns[t] = np.concatenate([d_z, d_r, d_new], 1)
-            through = np.concatenate([d_z, d_r, d_new * r], 1)
-            u += past.T @ through
-            back = (dh * z + through @ net.u.T) * kept[t]
+            back += d_states[t]
+            part = through[t]
+            np.multiply(back, to_z[t], out=part[:, :n])
+            np.multiply(back, to_new[t], out=d_new[t])
+            np.multiply(d_new[t], to_r[t], out=part[:, n : 2 * n])
+            np.multiply(d_new[t], r[t], out=part[:, 2 * n :])
+            back *= z[t]
+            back += part @ turned
+            if any_fresh[t]:
+                back[fresh[t]] = 0
+        flat = through.reshape(-1, 3 * n)
+        u = past.reshape(-1, n).T @ flat
+        flat[:, 2 * n :] = d_new.reshape(-1, n)
         order = np.argsort(x, axis=None, kind="stable")
         inputs = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, inputs[1:] != inputs[:-1]])
         g = np.zeros_like(net.g)
-        g[inputs[first]] = np.add.reduceat(owns.reshape(-1, 3 * n)[order], first)
+        g[inputs[first]] = np.add.reduceat(flat[order], first)
         return -float(logp.sum()), d | {"g": g, "u": u}, h
 
-    def update(self, grads: dict[str, np.ndarray], n: int) -> None:
+    def update(self, grads: dict[str, np.ndarray]) -> None:
+        """Summed gradients by the size of a full window, so that the few lanes in which a long text
+        goes on alone move the weights less than many."""
+        full = self.net.shape.train_lanes * self.net.shape.window
         for name, grad in grads.items():
-            grad = grad / np.float32(np.sqrt(n))
-            held = self.squares[name]
-            held += grad * grad
-            getattr(self.net, name).__isub__(np.float32(self.net.shape.rate) * grad / np.sqrt(held))
+            grad = np.multiply(grad, np.float32(1 / np.sqrt(full)))
+            held, work = self.squares[name], np.multiply(grad, grad)
+            held += work
+            np.sqrt(held, out=work)
+            grad /= work
+            grad *= np.float32(self.net.shape.rate)
+            getattr(self.net, name).__isub__(grad)
 
     def run(self, texts: list[np.ndarray], end: int) -> tuple[int, float]:
         """One pass over the texts; tokens seen and their summed loss."""
@@ -243,13 +310,12 @@ class Trainer:
         if not texts:
             return 0, 0.0
         s, held = self.net.shape, deal(texts, self.net.shape.train_lanes, end)
-        steps, lanes = held.x.shape
-        h, seen, lost = np.zeros((lanes, s.hidden), np.float32), 0, 0.0
+        steps, seen, lost = len(held.active), 0, 0.0
+        h = np.zeros((int(held.active[0]), s.hidden), self.net.u.dtype)
         for lo in range(0, steps, s.window):
-            hi, a = min(lo + s.window, steps), int(held.active[lo])
-            on = np.arange(a)[None, :] < held.active[lo:hi, None]
-            loss, grads, h = self.gradients(h[:a], held.x[lo:hi, :a], held.y[lo:hi, :a], held.fresh[lo:hi, :a], on)
-            n = int(on.sum())
-            self.update(grads, n)
-            seen, lost = seen + n, lost + loss
+            hi = min(lo + s.window, steps)
+            cells, on = held.cells(lo, hi)
+            loss, grads, h = self.gradients(h[: on.shape[1]], held.x[cells], held.y[cells], held.fresh[cells] & on, on)
+            self.update(grads)
+            seen, lost = seen + int(on.sum()), lost + loss
         return seen, lost

@@ -63,6 +63,40 @@ def run_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(terms, first) + lens.astype(U64) * _BYTE[0])
 
 
+#: The base's inverse modulo 2^64.
+_UNDO = U64(pow(int(_BASE), -1, 1 << 64))
+_back = np.ones(1, U64)
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    global _back
+    if len(_back) < n:
+        steps = np.full(max(n, 2 * len(_back)), _UNDO, U64)
+        steps[0] = 1
+        _back = np.multiply.accumulate(steps)
+    return _back[:n]
+
+
+def all_words(text: np.ndarray, offsets: np.ndarray, member: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, first) of the words of many texts in one buffer.
+
+    Text i has the words first[i] to first[i + 1].  Hashes are those of run_hashes(): differences of
+    prefix sums, times the base's inverse power of where the word starts.
+    """
+    n = len(text)
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = member[text]
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True  # words don't go on from one text to the next
+    step = inside[1:] != inside[:-1]
+    starts = np.flatnonzero(inside[1:] & (step | cut))
+    ends = np.flatnonzero(inside[:-1] & (step | cut))
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(_BYTE[text] * powers(n), out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * _inverse_powers(n + 1)[starts] + (ends - starts).astype(U64) * _BYTE[0])
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
+
+
 def word_hashes(text: np.ndarray, member: np.ndarray = WORD) -> np.ndarray:
     return run_hashes(text, *spans(text, member))
 

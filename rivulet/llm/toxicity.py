@@ -18,16 +18,17 @@ the machine so far, which begins with the windows' log odds (multiple-instance l
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.runtime import buffers, crc_mod, tune
+from rivulet.llm.runtime import buffers, columns, crc_mod, texts, tune, written
 
 BITS = 5
 GRAM = 4
@@ -36,9 +37,11 @@ SPACE = 31
 
 @dataclass(frozen=True)
 class Svm:
-    """Production parameters.  ``sample`` bounds the labelled rows the classifier is fitted on."""
+    """Production parameters.  ``sample`` and ``sample_bytes`` bound what the classifier is fitted on."""
 
     sample: int = 12_000
+    #: Bytes of folded text of these rows, in the sample's order; the driver holds them.
+    sample_bytes: int = 48 << 20
     width: int = 10
     reach: int = 6
     decay: float = 0.7
@@ -52,19 +55,27 @@ class Svm:
 
 
 def _fold_table() -> np.ndarray:
-    """Byte to letter 1-30, boundary 31, or 0 for signs that drop out.
+    """Code point to letter 1-30, boundary 31, or 0 for signs that drop out.
 
-    Digits and signs that stand for letters count as these.  Of the bytes beyond ASCII the lead
-    byte drops out and the others share four letters.
+    Digits and signs that stand for letters count as these, and letters with marks as their base.
+    Letters of other scripts are dealt to 30 signs by their code point, so that those of one
+    alphabet differ; upper and lower case are one.
     """
-    out = np.zeros(256, np.uint8)
+    out = np.zeros(0x10000, np.uint8)
+    for cp in range(0x80, 0x10000):
+        c = chr(cp)
+        kind = unicodedata.category(c)
+        if kind[0] == "Z":
+            out[cp] = SPACE
+        elif kind[0] == "L":
+            base = ord(unicodedata.normalize("NFKD", c.lower()[0])[0])
+            out[cp] = base - 0x60 if 0x61 <= base <= 0x7A else 1 + base % 30
     for c in range(26):
         out[0x41 + c] = out[0x61 + c] = c + 1
     for sign, letter in zip(b"013457@$!", b"oieastasi"):
         out[sign] = letter - 0x60
     for c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D):
         out[c] = SPACE
-    out[0x80:0xC0] = 27 + np.arange(64) % 4
     return out
 
 
@@ -73,7 +84,11 @@ _FOLD = _fold_table()
 
 def folded(text: np.ndarray) -> np.ndarray:
     """The letters of a text with a boundary before, between and after words."""
-    signs = _FOLD[text]
+    if len(text) and text.max() >= 0x80:
+        points = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        signs = np.where(points < len(_FOLD), _FOLD[np.minimum(points, len(_FOLD) - 1)], 1 + points % 30).astype(np.uint8)
+    else:
+        signs = _FOLD[text]
     signs = signs[signs > 0]
     signs = np.concatenate([[SPACE], signs, [SPACE]]).astype(np.uint8)
     keep = np.ones(len(signs), bool)
@@ -253,22 +268,33 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(w[1] - w[0] * center / scale)
 
 
+def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [folded(t).tobytes() for t in texts(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.binary()), pa.array([len(x) for x in rows], pa.int64())], ["doc_id", "toxic", "signs", "n"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, svm: Svm = Svm()) -> Machine:
-    """Fitted on at most ``sample`` labelled rows that aren't held out, taken by hash."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fitted on at most ``sample`` labelled documents that aren't held out, taken by hash, as far as
+    they fit ``sample_bytes``.  Of a doc_id's repeated rows the smallest text counts."""
+    known = columns(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(crc_mod(F.col("doc_id"), svm.modulus) != svm.held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(svm.sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(2 * svm.sample).toArrow()
-    data, at = buffers(rows.column("text"))
-    return train([folded(data[lo:hi]) for lo, hi in zip(at[:-1], at[1:])], np.array(rows.column("toxic").to_pylist(), int) > 0, svm)
+    rows = columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = written(rows.mapInArrow(_folds, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, signs binary, n long"), "sample")
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    own = rows.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= svm.sample_bytes).select("doc_id")
+    held = rows.join(F.broadcast(own), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("signs", "toxic").toArrow()
+    return train([np.frombuffer(x.as_buffer(), np.uint8) for x in held.column("signs")], np.array(held.column("toxic").to_pylist(), int) > 0, svm)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, svm: Svm = Svm()) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Only the text goes into a score.  Null and empty texts have the score of a text without any
-    window of weight.  Without labels of both kinds every text gets the share of toxic ones.
-    Extra columns are ignored; repeated rows get equal scores; repeated labels count by their
-    maximum.
+    window of weight; a long text that of its worst window.  Without labels of both kinds every text
+    gets the share of toxic ones.  Repeated rows get equal scores; repeated labels count by their
+    maximum; a score at the threshold is predicted toxic; no rows give no rows.  Extra columns are
+    ignored, whatever their names.
     """
     tune(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, svm))
@@ -280,5 +306,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, svm: Svm = Svm()) -> DataFrame:
             score = machine.chance(worst_windows([folded(data[lo:hi]) for lo, hi in zip(at[:-1], at[1:])], machine.beta, svm)[0])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= svm.threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", (crc_mod(F.col("doc_id"), svm.modulus) == svm.held_out).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = columns(docs, "doc_id", "text").select("doc_id", (crc_mod(F.col("doc_id"), svm.modulus) == svm.held_out).alias("held_out"), "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

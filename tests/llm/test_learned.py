@@ -10,9 +10,9 @@ import pytest
 
 from rivulet.llm import lmscore as L
 from rivulet.llm import toxicity as X
-from rivulet.llm.gru import Gru, Shape, Trainer, score
+from rivulet.llm.gru import Gru, Shape, Trainer, deal, score
 
-TINY = L.Lm(shape=Shape(hidden=8, classes=4, per_class=16), warm_docs=60, warm_passes=1, share=2)
+TINY = L.Lm(shape=Shape(hidden=8, classes=4, per_class=16), shard_tokens=8_000)
 
 
 def tokens(t):
@@ -29,11 +29,22 @@ def base(rows):
 @pytest.mark.parametrize("dictionary", [1 << 20, 300])
 def test_counts_and_base_scores_by_brute_force(docs, dictionary):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    found = L.likelihoods(docs, L.Lm(shape=TINY.shape, warm_docs=20, warm_passes=1, share=4, dictionary=dictionary)).collect()
+    found = L.likelihoods(docs, L.Lm(shape=TINY.shape, shard_tokens=20_000, dictionary=dictionary)).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found), key=repr) == base(rows)
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
 
+def test_words_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.choice(list(b"ab \n\xc3\xa9Z"), rng.integers(0, 30)).astype(np.uint8)) for _ in range(200)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    h, s, at = L.tokens(data, offsets)
+    for i, t in enumerate(texts):
+        own = L.tk.LOWER[np.frombuffer(t, np.uint8)]
+        assert h[at[i] : at[i + 1]].tolist() == [*L.tk.word_hashes(own).tolist(), int(L.END)] and s[at[i + 1] - 1] == 0
+
+
 def test_held_out_scores_beat_the_base(docs):
     found = L.likelihoods(docs).filter("held_out").collect()
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
@@ -80,7 +91,7 @@ def test_lanes_and_windows_don_t_change_a_score():
     def alone(text):
         h, x, out = np.zeros((1, 4)), 0, 0.0
         for k in text:
-            h = model.step(h, np.array([x]))[0]
+            h = model.step(h, model.g[[x]])[0]
             out += model.outputs(h, np.array([k]))[0][0]
             x = k
         return out
@@ -95,18 +106,46 @@ def test_probabilities_sum_to_one():
     assert np.exp(Gru.from_bytes(model.shape, model.to_bytes()).outputs(h.astype(np.float32), np.arange(8))[0]).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_every_training_document_is_learned_from(spark):
-    """By default each document moves the weights, whatever its hash."""
+def test_one_long_text_takes_no_room_in_other_lanes():
+    model, rng = net(np.float32)
+    texts = [rng.integers(0, 8, n).astype(np.int32) for n in (4000, 3, 2, 1)]
+    held = deal(texts, 3, 0)
+    assert len(held.x) == 4006 and held.active.max() == 3 and held.active[4:].max() == 1
+    assert [np.sort(held.y[held.owner == i]).tolist() for i in range(4)] == [np.sort(t).tolist() for t in texts]
+
+
+def learned(df, lm):
     from pyspark.sql import functions as F
 
-    lm = L.Lm(shape=TINY.shape, warm_docs=1, warm_passes=1)
-    df = spark.createDataFrame([(i, f"the cat number {i % 7} sat on mat {i % 5} and so on") for i in range(24)], "doc_id long, text string").coalesce(1)
     vocab = L.vocabulary(L.token_counts(df), lm)
-    warm = df.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
-    whole = L.train(df, vocab, lm).to_bytes()
-    assert whole == L.train(df, vocab, lm).to_bytes()
-    for i in [x for x in range(24) if x != warm][:6]:
-        assert L.train(df.filter(F.col("doc_id") != i), vocab, lm).to_bytes() != whole, i
+    rows = L.encoded(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("k"), F.lit(False).alias("held_out"), "text"), vocab, lm)
+    return L.train(rows, vocab, lm).to_bytes()
+
+
+def test_every_training_document_is_learned_from(spark):
+    """Each document moves the weights, whatever its hash."""
+    from pyspark.sql import functions as F
+
+    lm = L.Lm(shape=TINY.shape, shard_tokens=60)
+    df = spark.createDataFrame([(i, f"the cat number {i % 7} sat on mat {i % 5} and so on") for i in range(24)], "doc_id long, text string")
+    whole = learned(df, lm)
+    assert whole == learned(df, lm)
+    for i in range(0, 24, 5):
+        assert learned(df.filter(F.col("doc_id") != i), lm) != whole, i
+
+
+def test_scores_don_t_depend_on_partitions(docs, odd):
+    for df in (docs.select("doc_id", "text").limit(100), odd.select("doc_id", "text")):
+        a, b = (sorted(((r.doc_id, r.n_tokens, r.base_score, r.score) for r in L.likelihoods(df.repartition(n), TINY).collect()), key=repr) for n in (3, 11))
+        assert [x[:2] for x in a] == [x[:2] for x in b]
+        assert np.array([x[2:] for x in a]) == pytest.approx(np.array([x[2:] for x in b]), rel=1e-5)
+
+
+def test_sharded_training_beats_the_base_per_token(spark, sf_dir):
+    """Held-out log10 probability of a token on the larger tables."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    row = L.likelihoods(docs).filter("held_out").selectExpr("sum(score) / sum(n_tokens) AS own", "sum(base_score) / sum(n_tokens) AS base").first()
+    assert row.own > row.base
 
 
 # Toxicity -------------------------------------------------------------------------------------
@@ -169,3 +208,26 @@ def test_scores_don_t_depend_on_other_columns(docs, spark, sf_dir):
     a = X.toxicity(docs, labels).select("doc_id", "score").collect()
     b = X.toxicity(docs.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y")), labels).select("doc_id", "score").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_insults_beyond_ascii_are_told_apart():
+    fold = lambda t: X.folded(np.frombuffer(t.encode(), np.uint8))
+    assert fold("Été NAÏVE").tolist() == fold("ete naive").tolist() and fold("МИР").tolist() == fold("мир").tolist()
+    assert len({tuple(fold(c)) for c in "абвгдежзийклмноп"}) == 16 and fold("a\u00a0b").tolist() == fold("a b").tolist()
+    assert X.folded(np.array([0xFF, 0x61], np.uint8)).tolist() == fold("\ufffda").tolist()
+    texts, toxic = rows(3)
+    cyrillic = str.maketrans("abdeilmnorstuzgkpfxvy", "абдеилмнорстузгкпфхвй")
+    texts = [t.translate(cyrillic) for t in texts]
+    machine = X.train([fold(t) for t in texts], toxic, X.Svm(landmarks=128))
+    new, truth = rows(4)
+    chance = machine.chance(X.worst_windows([fold(t.translate(cyrillic)) for t in new], machine.beta, X.Svm())[0])
+    assert ((chance >= 0.3) == truth).mean() > 0.95
+
+
+def test_held_out_recall(spark, sf_dir):
+    """On rows that were never learned from."""
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/{x}.parquet") for x in ("documents", "labels"))
+    found = X.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").groupBy("toxic").agg({"predicted": "avg"}).collect()
+    share = {r[0]: r[1] for r in found}
+    print("held-out recall and false alarms", share)
+    assert share[1] >= 0.75 and share[0] <= 0.02
