@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import textkernel as tk
 from rivulet.llm.graph import components
-from rivulet.llm.runtime import checkpointed, texts, tune, written
+from rivulet.llm.runtime import Rows, checkpointed, columns, few, texts, tune, written
 
 U64 = np.uint64
 
@@ -189,22 +189,32 @@ def _in_blocks(ids: DataFrame, classes: DataFrame, sources: DataFrame, band: Ban
     """(ca, cb) of all similar pairs of ids (id, n, component) that share a table.
 
     Two documents that share a table share a half-key of the first collection, so these m values
-    are the buckets here.  A bucket's largest component needs no comparison with itself: its other
-    members, in blocks of bounded size, meet blocks of all members.  A task compares two blocks in
-    memory, each pair only at the first half-key that it shares, and gives out links alone.
+    are the buckets here.  Sizes that differ by more than the threshold exclude a pair, so a bucket
+    is cut into levels of size of which only neighbours meet.  A bucket's largest component needs
+    no comparison with itself: its other members, in blocks of bounded size, meet blocks of all
+    members.  A task compares two blocks in memory, each pair only at the first half-key that it
+    shares, and gives out links alone.
     """
     m = band.halves
     rows = ids.join(classes.select("id", "halves"), "id")
-    tables = rows.select("id", "n", "component", F.posexplode(F.slice("halves", 1, m)).alias("i", "x")).withColumn("key", F.xxhash64("i", "x"))
-    each = tables.groupBy("key", "component").agg(F.sum("n").alias("s"))
-    whole = each.groupBy("key").agg(F.max(F.struct("s", "component")).alias("big"), F.sum("s").alias("total"), F.count("*").alias("k")).filter("k > 1")
-    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / band.block_shingles)).cast("int")
-    whole = checkpointed(whole.select("key", F.col("big.component").alias("big"), blocks(F.col("total")).alias("all"), blocks(F.col("total") - F.col("big.s")).alias("own")))
-    placed = tables.join(whole, "key").select("key", "i", "id", "n", "component", "big", "all", "own")
+    level = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / band.percent)).cast("int")
+    tables = rows.select("id", "n", "component", level.alias("level"), F.posexplode(F.slice("halves", 1, m)).alias("i", "x")).withColumn("key", F.xxhash64("i", "x"))
+    each = checkpointed(tables.groupBy("key", "component", "level").agg(F.sum("n").alias("s")))
+    big = each.groupBy("key", "component").agg(F.sum("s").alias("s")).groupBy("key").agg(F.max(F.struct("s", "component")).alias("big"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("big.component").alias("big"))
+    blocks = lambda size: F.ceil(size / band.block_shingles).cast("int")
+    levels = each.join(big, "key").groupBy("key", "big", "level").agg(blocks(F.sum("s")).alias("all"), blocks(F.sum(F.when(F.col("component") != F.col("big"), F.col("s")).otherwise(0))).alias("own"))
+    levels = checkpointed(levels)
+    # which levels' own blocks meet which levels' blocks of all members
+    theirs = levels.select("key", F.col("level").alias("to"), "all")
+    meet = levels.filter("own > 0").select("key", "big", F.col("level").alias("from"), "own", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("to")).join(theirs, ["key", "to"])
+    meet = checkpointed(meet)
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    one = placed.filter("component <> big").select("*", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), "own").cast("int").alias("o"), F.explode(spread("all")).alias("a"))
-    two = placed.select("*", F.lit(1).alias("side"), F.explode(spread("own")).alias("o"), F.pmod(F.xxhash64(F.lit(1), "id"), "all").cast("int").alias("a"))
-    units = one.unionByName(two.select(one.columns)).drop("all", "own").join(rows.select("id", "halves"), "id").join(sources, "id")
+    placed = tables.select("key", "i", "id", "n", "component", "level")
+    unit = ["key", "from", "to", "o", "a"]
+    one = placed.join(meet.withColumn("level", F.col("from")), ["key", "level"]).filter("component <> big").withColumn("side", F.lit(0)).withColumn("o", F.pmod(F.xxhash64("id"), "own").cast("int")).withColumn("a", F.explode(spread("all")))
+    two = placed.join(meet.withColumn("level", F.col("to")), ["key", "level"]).withColumn("side", F.lit(1)).withColumn("o", F.explode(spread("own"))).withColumn("a", F.pmod(F.xxhash64(F.lit(1), "id"), "all").cast("int"))
+    names = [*unit, "i", "id", "component", "big", "side"]
+    units = one.select(*names).unionByName(two.select(*names)).join(rows.select("id", "halves"), "id").join(sources, "id")
 
     def run(unit: pa.Table) -> pa.Table:
         side = unit.column("side").to_numpy()
@@ -229,19 +239,20 @@ def _in_blocks(ids: DataFrame, classes: DataFrame, sources: DataFrame, band: Ban
                 links.add((min(component[x], component[j]).item(), max(component[x], component[j]).item()))
         return pa.table({"ca": pa.array([p for p, _ in links], pa.int64()), "cb": pa.array([q for _, q in links], pa.int64())})
 
-    return units.groupBy("key", "o", "a").applyInArrow(run, "ca long, cb long")
+    return units.groupBy(*unit).applyInArrow(run, "ca long, cb long")
 
 
 def near_duplicates(docs: DataFrame, band: Banding = Banding()) -> DataFrame:
     """One row per distinct doc_id: doc_id, n_shingles, component_id, kept.
 
-    Null or empty texts have the empty set and are linked with nothing.  Repeated rows of a doc_id
-    count once, by their smallest digest.  A null doc_id is left out, as it can't name a component.
-    No rows give no rows; extra columns are ignored.
+    Null or empty texts have the empty set and are linked with nothing; long texts have their whole
+    set.  Repeated rows of a doc_id count once, by their smallest digest; of equal documents the
+    smallest doc_id names the component.  A null doc_id is left out, as it can't name a component.
+    No rows give no rows; extra columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
+    docs = columns(docs, "doc_id", "text").filter("doc_id is not null")
     rows = _sets(docs, band).groupBy("doc_id").agg(F.min(F.struct("n_shingles", "set1", "set2", "halves")).alias("s")).select("doc_id", "s.*")
     rows = written(rows, "sets")
     # classes of equal sets: partial minima, so a class of any size is combined before the shuffle
@@ -269,12 +280,11 @@ def keep_one(docs: DataFrame, band: Banding = Banding()) -> DataFrame:
     Of repeated rows of a doc_id the one with the smallest text stays; rows with a null doc_id
     all stay.
     """
+    rows = Rows(docs)
     found = checkpointed(near_duplicates(docs, band).select("doc_id", "kept"))
     gone = found.filter("not kept").select("doc_id")
-    side = F.broadcast(gone) if gone.limit(band.broadcast_ids + 1).count() <= band.broadcast_ids else gone
-    out = docs.join(side, "doc_id", "left_anti").select(*docs.columns)
-    if docs.filter("doc_id is not null").count() > found.count():
-        known = out.filter("doc_id is not null")
-        one = known.groupBy(F.col("doc_id").alias("_k")).agg(F.min_by(F.struct(*known.columns), F.coalesce("text", F.lit(""))).alias("r")).select("r.*")
-        out = one.unionByName(out.filter("doc_id is null"))
-    return out
+    out = rows.frame.select("row", rows.column("doc_id").alias("doc_id")).join(few(gone, band.broadcast_ids), "doc_id", "left_anti")
+    if rows.select("doc_id").filter("doc_id is not null").count() > found.count():
+        one = out.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by("row", F.coalesce(rows.column("text"), F.lit(""))).alias("row"))
+        out = one.select("row").unionByName(out.filter("doc_id is null").select("row"))
+    return rows.unpacked(out)
