@@ -7,10 +7,11 @@ kind of network, e-mail addresses the pattern of letters and digits, names gende
 Digits, letters and addresses go through a keyed Feistel permutation of all strings of their
 format, so different originals get different surrogates and equal originals equal ones wherever
 they occur.  Names have no such finite format; they are made of syllables drawn by a keyed hash.
-All distinct entities of the corpus are then checked: if two share a surrogate, or a surrogate is
-an entity that occurs in the corpus, all but the smallest original draw again until none clash.
+All distinct entities of the corpus are then checked by what a reader sees: for names the word in
+its script, whatever its role or gender.  An entity whose surrogate is shown by the corpus itself,
+by a settled entity or by a smaller one that is drawing too draws again; the others are settled.
 The few that drew again are exceptions which the rewriting pass gets, broadcast if they are few
-and joined by document if not.
+and joined by the text's digest if not.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.runtime import checkpointed, tune
+from rivulet.llm.runtime import Rows, checkpointed, few, tune, written
 
 KINDS = ("email", "ipv4", "card", "ssn", "phone", "name")
 
@@ -35,6 +36,7 @@ class Privacy:
     """Production parameters.  The key must be kept secret; equal keys give equal surrogates."""
 
     key: bytes = b"rivulet-surrogates-1"
+    #: Rows up to which exceptions, and the entities that draw again, are broadcast.
     broadcast_exceptions: int = 200_000
 
 
@@ -47,6 +49,13 @@ _IPV4 = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])")
 _CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _PHONE = re.compile(r"(?<![0-9A-Za-z.])(\+[0-9]{1,3}[ .-]?)?(\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9]|[.-][0-9])")
+# Unseparated or freely grouped numbers after a country code, pairs as in France, and ten digits after a word.
+_PHONES = (
+    _PHONE,
+    re.compile(r"(?<![0-9A-Za-z.+])(\+[0-9]{1,3})(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9]|[.-][0-9])"),
+    re.compile(r"(?<![0-9A-Za-z.+-])()0[1-9](?:[ .-][0-9]{2}){4}(?![0-9]|[ .-][0-9])"),
+    re.compile(r"(?:(?i:\b(?:phone|telephone|tel|call|mobile|fax|téléphone|telefon|teléfono|móvil|handy)\b)[ .:]{1,3})()(?P<own>[0-9]{9,11})(?![0-9])"),
+)
 _TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Dr": "n", "Prof": "n",
     "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f",
@@ -126,11 +135,12 @@ def detect(text: str) -> list[Entity]:
                 found.append(Entity(m.start(), m.end(), "ipv4", ".".join(map(str, parts))))
         found += [Entity(m.start(), m.end(), "card", re.sub("[^0-9]", "", m[0])) for m in _CARD.finditer(text)]
         found += [Entity(m.start(), m.end(), "ssn", re.sub("[^0-9]", "", m[0])) for m in _SSN.finditer(text)]
-        for m in _PHONE.finditer(text):
-            digits = re.sub("[^0-9]", "", m[0])
+        for m in (x for pattern in _PHONES for x in pattern.finditer(text)):
+            lo, hi = m.span("own") if "own" in m.re.groupindex else m.span()
+            digits = re.sub("[^0-9]", "", text[lo:hi])
             if 7 <= len(digits) <= 15:
                 code = re.sub("[^0-9]", "", m[1] or "")
-                found.append(Entity(m.start(), m.end(), "phone", f"{code}:{digits[len(code):]}"))
+                found.append(Entity(lo, hi, "phone", f"{code}:{digits[len(code):]}"))
     if any(title in text for title in _TITLES):
         found += _names(text)
     if len(found) < 2:
@@ -294,80 +304,107 @@ def rewrite(text: str, attempts: Callable[[str, str], int], made: Callable[[str,
 # Over tables ---------------------------------------------------------------------------------
 
 
-def _mentions(docs: DataFrame, with_id: bool) -> DataFrame:
-    """(kind, canon), once per batch and if asked for per doc_id."""
+def _entities(texts: DataFrame) -> DataFrame:
+    """(k1, k2, kind, canon) of a table (text, k1, k2), once for each entity of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist() if with_id else [None] * batch.num_rows
-            seen = sorted({((i,) if with_id else ()) + (e.kind, e.canon) for i, t in zip(ids, batch.column("text").to_pylist()) if t for e in detect(t)}, key=repr)
-            names = ["doc_id", "kind", "canon"][0 if with_id else 1 :]
-            kinds = [pa.int64(), pa.string(), pa.string()][0 if with_id else 1 :]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], t) for i, t in enumerate(kinds)], names)
+            rows = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text").to_pylist())
+            seen = [(a, b, *e) for a, b, t in rows if t for e in sorted({(e.kind, e.canon) for e in detect(t)})]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["k1", "k2", "kind", "canon"])
 
-    return docs.select(*(["doc_id"] if with_id else []), "text").mapInArrow(run, ("doc_id long, " if with_id else "") + "kind string, canon string")
+    return texts.mapInArrow(run, "k1 long, k2 long, kind string, canon string")
 
 
-def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canon, attempt) of the entities that have to draw again.
+def shown(kind: str, canon: str) -> list[str]:
+    """What a reader can see of an entity or a surrogate, without its layout."""
+    if kind != "name":
+        return [canon.replace(":", "")]
+    role, _, script, form = canon.split(":", 3)
+    forms = [form, form + "а"] if role == "family" and script == "cyrillic" else [form]
+    return [f"{script}:{x}" for x in forms]
 
-    An entity gives way if a smaller one has its surrogate, or if its surrogate is an entity of
-    the corpus itself.
-    """
+
+def _seen(rows: DataFrame) -> DataFrame:
+    """(kind, canon, seen): what is shown of each entity of a table (kind, canon)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "canon", "attempt")))
-            made = [surrogate(k, c, key, a) for k, c, a in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "canon", "attempt")), pa.array(made, pa.string())], ["kind", "canon", "attempt", "new"])
+            out = [(k, c, x) for k, c in zip(batch.column("kind").to_pylist(), batch.column("canon").to_pylist()) for x in shown(k, c)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], ["kind", "canon", "seen"])
+
+    return rows.select("kind", "canon").mapInArrow(run, "kind string, canon string, seen string")
+
+
+def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canon, attempt, seen): what is shown of the surrogates of a table (kind, canon, attempt)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(k, c, a, x) for k, c, a in zip(*(batch.column(n).to_pylist() for n in ("kind", "canon", "attempt"))) for x in shown(k, surrogate(k, c, key, a))]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["kind", "canon", "attempt", "seen"])
+
+    return rows.mapInArrow(run, "kind string, canon string, attempt int, seen string")
 
-    current = entities.select("kind", "canon", F.lit(0).alias("attempt"))
+
+def exceptions(entities: DataFrame, key: bytes, most: int = 0) -> DataFrame:
+    """(kind, canon, attempt) of the entities that have to draw again, of distinct (kind, canon).
+
+    An entity gives way if what its surrogate shows is shown by an entity of the corpus, by the
+    surrogate of a settled one, or by that of a smaller one that draws in the same round.  Settled
+    entities aren't drawn again; up to ``most`` that are open are broadcast.
+    """
+    taken = checkpointed(_seen(entities).select("kind", "seen").distinct())
+    turn, settled = entities.select("kind", "canon", F.lit(0).alias("attempt")), None
     while True:
-        drawn = checkpointed(current.mapInArrow(run, "kind string, canon string, attempt int, new string"))
-        first = drawn.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "new", "first")
-        real = entities.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
-        judged = drawn.join(first, ["kind", "new"], "left").join(real, ["kind", "new"], "left")
-        current = judged.withColumn("clash", (F.col("first").isNotNull() & (F.col("canon") != F.col("first"))) | F.col("real").isNotNull())
-        current = checkpointed(current.select("kind", "canon", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"), "clash"))
-        if current.filter("clash").isEmpty():
-            return current.filter("attempt > 0").select("kind", "canon", "attempt")
-        current = current.select("kind", "canon", "attempt")
-
-
-def _rewritten(docs: DataFrame, cfg: Privacy) -> DataFrame:
-    """docs with the surrogates in text, and _p_counts."""
-    tune(docs.sparkSession)
-    entities = checkpointed(_mentions(docs, False).distinct())
-    again = exceptions(entities, cfg.key)
-    few = again.limit(cfg.broadcast_exceptions + 1).collect()
-    names = list(docs.columns)
-    rows = docs
-    if len(few) <= cfg.broadcast_exceptions:
-        held = docs.sparkSession.sparkContext.broadcast({(r.kind, r.canon): r.attempt for r in few})
-    else:
-        held = None
-        own = _mentions(docs.filter("doc_id is not null"), True).join(again, ["kind", "canon"]).distinct()
-        own = own.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_p_again"))
-        rows = docs.join(own, "doc_id", "left").select(*names, "_p_again")
+        drawn = checkpointed(_drawn(turn, key))
+        first = drawn.groupBy("kind", "seen").agg(F.min("canon").alias("first"))
+        hit = taken.join(few(drawn.select("kind", "seen").distinct(), most), ["kind", "seen"], "left_semi").withColumn("hit", F.lit(True))
+        judged = drawn.join(first, ["kind", "seen"]).join(hit, ["kind", "seen"], "left")
+        judged = judged.groupBy("kind", "canon", "attempt").agg(F.max(F.col("hit").isNotNull() | (F.col("canon") != F.col("first"))).alias("clash"))
+        judged = checkpointed(judged)
+        own = judged.filter("not clash and attempt > 0").select("kind", "canon", "attempt")
+        settled = own if settled is None else settled.unionByName(own)
+        if judged.filter("clash").isEmpty():
+            return settled
+        new = drawn.join(judged.filter("not clash").select("kind", "canon"), ["kind", "canon"], "left_semi").select("kind", "seen")
+        taken = taken.unionByName(new)
+        turn = judged.filter("clash").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+
+
+def _rewritten(rows: Rows, cfg: Privacy) -> DataFrame:
+    """(row, counts): the rows with surrogates in their text, and how many entities of each kind."""
+    text, at = rows.column("text"), rows.place("text")
+    digest = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+    found = _entities(rows.frame.select(text.alias("text"), *digest))
+    entities = checkpointed(found.select("kind", "canon").distinct())
+    again = checkpointed(exceptions(entities, cfg.key, cfg.broadcast_exceptions))
+    held, docs = None, rows.frame
+    if again.limit(max(0, cfg.broadcast_exceptions) + 1).count() <= cfg.broadcast_exceptions:
+        held = rows.frame.sparkSession.sparkContext.broadcast({(r.kind, r.canon): r.attempt for r in again.collect()})
+    else:  # by text, so that rows without an id or with a repeated one get their own
+        own = found.distinct().join(again, ["kind", "canon"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("again"))
+        docs = rows.frame.select("row", *digest).join(written(own, "again"), ["k1", "k2"], "left").select("row", "again")
     key = cfg.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lru_cache(1 << 14)(lambda kind, canon, attempt: surrogate(kind, canon, key, attempt))
         shared = held.value if held else {}
         for batch in batches:
-            texts_in = batch.column("text").to_pylist()
-            per_row = batch.column("_p_again").to_pylist() if not held else [None] * len(texts_in)
+            row = batch.column("row")
+            parts = [row.field(i) for i in range(row.type.num_fields)]
+            per_row = batch.column("again").to_pylist() if not held else [None] * batch.num_rows
             out, counts = [], []
-            for t, own in zip(texts_in, per_row):
+            for t, own in zip(parts[at].to_pylist(), per_row):
                 table = {(x["kind"], x["canon"]): x["attempt"] for x in own} if own else shared
                 new, n = rewrite(t, partial(_attempt, table), made) if t is not None else (None, [0] * len(KINDS))
                 out.append(new)
                 counts.append(n)
-            cols = [pa.array(out, batch.column("text").type) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.list_(pa.int64()))], [*names, "_p_counts"])
+            parts[at] = pa.array(out, parts[at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(parts, fields=list(row.type)), pa.array(counts, pa.list_(pa.int64()))], ["row", "counts"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema) + "_p_counts array<long>"
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, rows.schema("counts array<long>"))
 
 
 def _attempt(table: dict[tuple[str, str], int], kind: str, canon: str) -> int:
@@ -377,16 +414,27 @@ def _attempt(table: dict[tuple[str, str], int], kind: str, canon: str) -> int:
 def surrogates(docs: DataFrame, cfg: Privacy = Privacy()) -> DataFrame:
     """One row per row of docs: doc_id, text with surrogates, and how many entities of each kind.
 
-    A null text stays null and an empty one empty; texts without entities stay as they are.
-    Repeated rows get equal texts.  Extra columns are ignored.
+    A null text stays null and an empty one empty; texts without entities stay as they are; long
+    texts are searched whole.  Rows of equal text get equal texts, whatever their id, null
+    included.  Where two entities draw the same surrogate the smaller original keeps it.  No rows
+    give no rows.  Extra columns are ignored, whatever their names.
     """
-    out = _rewritten(docs.select("doc_id", "text"), cfg)
-    return out.select("doc_id", "text", *(F.element_at("_p_counts", i + 1).alias(f"n_{k}") for i, k in enumerate(KINDS)))
+    tune(docs.sparkSession)
+    rows = Rows(Rows(docs).select("doc_id", "text"))
+    out = _rewritten(rows, cfg)
+    return rows.unpacked(out, **{f"n_{k}": F.element_at("counts", i + 1) for i, k in enumerate(KINDS)})
 
 
 def rewritten(docs: DataFrame, cfg: Privacy = Privacy()) -> DataFrame:
-    """The rows of docs, with all their columns; n_chars, if there, follows the new text."""
-    out = _rewritten(docs, cfg).select(*docs.columns)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out
+    """The rows of docs, with all their columns; n_chars, if there, follows the new text.
+
+    Cases are as for surrogates().
+    """
+    tune(docs.sparkSession)
+    rows = Rows(docs)
+    out = _rewritten(rows, cfg)
+    if "n_chars" in rows.names:
+        name = f"c{rows.place('n_chars')}"
+        kind = rows.frame.schema["row"].dataType[name].dataType
+        out = out.withColumn("row", F.col("row").withField(name, F.coalesce(F.length(rows.column("text")), F.lit(0)).cast(kind)))
+    return rows.unpacked(out)
