@@ -68,3 +68,34 @@ def test_glued_values_are_judged_by_their_own_class():
     assert {x for s, _, e in S.entropy_spans(t) for x in range(s, e)} >= {*range(2, 34), *range(35, 67)}
     for fine in ("x/sha1=9F86D081884C7D659A2FEAA0C55AD015", "x/md5_9F86D081884C7D659A2FEAA0C55AD015", "id=123e4567-e89b-12d3-a456-426614174000"):
         assert spans(f"see {fine} end") == [], fine
+
+
+def test_url_paths_are_allowed_and_queries_searched():
+    key = "Zk3vQ9xLmT7bRw2sYp8dHf4g"
+    for fine in (f"https://x.org/{'a-b/' * 400}{key}", f"commit      {key}", f"sha256: {key}"):
+        assert spans(f"see {fine} end") == [], fine
+    for bad in (f"https://x.org/p?access_key={key}", f"https://x.org/{'a-b/' * 400}p?k={key}&z=1", f"https://x.org/#{key}", f"example.com,{key}", f"2024-01-02:{key}"):
+        assert len(spans(f"see {bad} end")) == 1, bad
+    run = "example/" + key
+    t = np.frombuffer(run.encode(), np.uint8)
+    (lo, _, hi), = S.entropy_spans(t)
+    assert lo >= 7 and hi == len(run)  # the rest of a run with a placeholder is still searched
+
+
+def labelled(seed=11, n=400):
+    """Lines with a secret that no base rule names, and lines with what only looks like one."""
+    rng = random.Random(seed)
+    draw = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    alnum, word = "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789", lambda: draw("abdeilmnorstu", rng.randrange(3, 9))
+    bad = [lambda: f"Authorization: Bearer {draw(alnum, 36)}", lambda: f"AUTH={draw(alnum + '+/', 40)}", lambda: f"https://h.org/v1?key={draw(alnum, 32)}", lambda: f"{draw('0123456789ABCDEF', 40)}", lambda: f"gh_{draw(alnum, 36)}"]
+    hexes = lambda k: draw("0123456789ABCDEF", k)
+    fine = [lambda: f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", lambda: f"https://h.org/{draw(alnum, 32)}", lambda: f"sha256:{hexes(64)}", lambda: "2024-01-02T03-04-05_06", lambda: "".join(word().capitalize() for _ in range(5)) + str(rng.randrange(100)), lambda: draw("0123456789", 24), lambda: "_".join(word() for _ in range(6))]
+    line = lambda x: f"{word()} {word()} {x} {word()}"
+    return [line(rng.choice(bad)()) for _ in range(n)], [line(rng.choice(fine)()) for _ in range(n)]
+
+
+def test_the_method_adds_spans_on_labelled_lines():
+    bad, fine = labelled()
+    bad = [x for x in bad if not S.base_spans(np.frombuffer(x.encode(), np.uint8))]
+    assert len(bad) > 350
+    assert sum(bool(spans(x)) for x in bad) >= 0.95 * len(bad) and sum(bool(spans(x)) for x in fine) <= 0.05 * len(fine)
