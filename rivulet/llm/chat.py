@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.llm.runtime import columns
+
 
 @dataclass(frozen=True)
 class Template:
@@ -64,28 +66,40 @@ def parse(text: Column, t: Template) -> Column:
 
 
 def formatted(conversations: DataFrame, t: Template = Template()) -> DataFrame:
-    """One row per conversation: conv_id, formatted, turns (parsed from it), escaped.
+    """One row per conversation: conv_id, formatted, turns (parsed from it), escaped, mask.
+
+    The loss mask gives for each turn how many characters of the formatted text come before its
+    trained part, in it, and after it; together they are the whole text.
 
     Turns are in order of turn, then role and text; null turns come first.  Null texts and roles
-    count as empty.  A null conv_id is a conversation of its own; repeated rows are turns of their
-    own; extra columns are ignored.  A conversation is one row of the result, so its turns meet in
-    one task whatever the method.
+    count as empty; long texts are rendered whole.  A null conv_id is a conversation of its own;
+    repeated rows are turns of their own; no rows give no rows; extra columns are ignored, whatever
+    their names.  A conversation is one row of the result, so its turns meet in one task whatever the
+    method.
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = conversations.select("conv_id", F.struct("turn", blank("role").alias("role"), blank("text").alias("text")).alias("x"))
+    rows = columns(conversations, "conv_id", "turn", "role", "text").select("conv_id", F.struct("turn", blank("role").alias("role"), blank("text").alias("text")).alias("x"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     source = whole.select("conv_id", F.transform("x", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"))
     same = lambda text: F.coalesce(parse(text, t) == F.col("source"), F.lit(False))
     first = source.withColumn("raw", render(F.col("source"), t, False)).withColumn("escaped", ~same(F.col("raw")))
     second = first.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), t, True)).otherwise(F.col("raw"))).withColumn("turns", parse(F.col("formatted"), t))
     checked = F.when(F.coalesce(F.col("turns") == F.col("source"), F.lit(False)), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("no round trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("array<struct<role:string,text:string>>"))
-    return second.select("conv_id", "formatted", checked.alias("turns"), "escaped")
+    def lengths(x: Column) -> Column:
+        role, text = (F.when(F.col("escaped"), escape(x[c], t, c == "role")).otherwise(x[c]) for c in ("role", "text"))
+        body, loss = F.length(text), F.when(x["role"] == t.loss_role, F.length(text)).otherwise(0)
+        return F.struct((F.length(role) + len(t.head + t.colon)).alias("before"), loss.alias("loss"), (body - loss + len(t.end) + 1).alias("after"))
+
+    return second.select("conv_id", "formatted", checked.alias("turns"), "escaped", F.transform("source", lengths).alias("mask"))
 
 
 def digest(rows: DataFrame, t: Template = Template()) -> DataFrame:
-    """formatted()'s rows, reduced to counts and digests of what was parsed."""
+    """formatted()'s rows, reduced to counts and digests of what was parsed and of what the loss mask
+    cuts out of the formatted text."""
     all_turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == t.loss_role), lambda x: x["text"]), "")
+    parts = F.split("formatted", f"\\Q{t.end}\\E\n")
+    cut = lambda x, m: unescape(F.substring(x, m["before"] + 1, m["loss"]), t)
+    loss = F.array_join(F.zip_with(F.slice(parts, 1, F.size(parts) - 1), "mask", cut), "")
     return rows.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -104,7 +118,7 @@ def with_conflict(conversations: DataFrame) -> DataFrame:
     spark: SparkSession = conversations.sparkSession
     text = F.lit(CONFLICT)
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
-    return conversations.select("conv_id", "turn", "role", "text").unionByName(more)
+    return columns(conversations, "conv_id", "turn", "role", "text").unionByName(more)
 
 
 #: The contract in DuckDB SQL; the template's length is that of the escaped form.

@@ -170,8 +170,11 @@ def _candidates(docs: DataFrame, bloom: np.ndarray, short: list[int], win: Winno
             if len(words) >= n:
                 grams = tk.gram_hashes(words, n)
                 at = np.flatnonzero(_member(held.value, grams, n))
-                for h in np.unique(grams[at]).tolist():
-                    out.append({"n": n, "h": int(np.uint64(h).view(np.int64)), "at": at[grams[at] == U64(h)].tolist(), "around": None})
+                if len(at):
+                    at = at[np.argsort(grams[at], kind="stable")]
+                    own = grams[at]
+                    groups = np.split(at, np.flatnonzero(own[1:] != own[:-1]) + 1)
+                    out += [{"n": n, "h": int(grams[g[0]].view(np.int64)), "at": g.tolist(), "around": None} for g in groups]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

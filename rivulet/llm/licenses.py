@@ -7,31 +7,39 @@ same shingles as one of the template's, and so is retrieved with certainty; one
 similarity j is with probability 1 - (1 - j)^bands.  A license of n words that went through e
 edits keeps an unchanged window whenever n >= (e + 1) * window + e.
 
-A retrieved template is accepted if at least ``percent`` of its distinct shingles are in the text.
+Templates are a table; windows are joined with the templates' windows on (band, value), which is a
+broadcast join while the templates are few and a shuffled one beyond.  A retrieved template is
+accepted if at least ``percent`` of its distinct shingles are in the text.  Licenses of a family
+share much of their wording, so of a family's accepted templates only those of the highest
+containment count.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rivulet.llm.runtime import checkpointed, columns, few
+
 # Wordings of license notices.
 NOTICES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0."),
+    ("CC-BY-NC-4.0", "cc", "Licensed under CC BY-NC 4.0."),
+    ("GPL-3.0", "gnu", "This work is licensed under the GNU General Public License, version 3."),
+    ("MIT", "mit", "Released under the MIT License."),
+    ("MIT", "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("ISC", "isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("GPL-3.0", "gnu", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("AGPL-3.0", "gnu", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "gnu", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "gnu", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "gnu", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("BSD-3-Clause", "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 )
 
 
@@ -43,8 +51,8 @@ class Scan:
     window: int = 5
     bands: int = 2
     percent: int = 80
-    #: The templates' shingles become part of the plan; more than this many are refused.
-    most_shingles: int = 100_000
+    #: Rows of a table of templates, or of texts with candidates, that may be broadcast.
+    broadcast_rows: int = 50_000
 
 
 def _words(text: Column) -> Column:
@@ -77,57 +85,72 @@ def _bands(shingles: Column, scan: Scan) -> list[Column]:
     return [band(b) for b in range(scan.bands)]
 
 
-def _literal(values: list[int]) -> Column:
-    """One constant array, however long."""
-    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
-
-
-def _scanned(docs: DataFrame, scan: Scan, notices: tuple[tuple[str, str], ...]) -> DataFrame:
-    """doc_id, _l_n, _l_h and _l_found: an array of structs (license, percent)."""
-    spark: SparkSession = docs.sparkSession
-    known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(notices)], "i int, name string, text string")
-    known = known.select("i", "name", _words(F.col("text")).alias("w")).select("i", "name", _shingles(F.col("w"), scan.shingle).alias("h")).select("name", F.array_distinct("h").alias("d"), *(x.alias(f"b{b}") for b, x in enumerate(_bands(F.col("h"), scan)))).collect()
-    if sum(len(r.d) for r in known) > scan.most_shingles:
-        raise ValueError("too many template shingles; scan with fewer templates at a time")
-    rows = docs.select("doc_id", _words(F.col("text")).alias("_l_w")).select("doc_id", F.size("_l_w").cast("long").alias("_l_n"), _shingles(F.col("_l_w"), scan.shingle).alias("_l_h"))
-    rows = rows.select("*", *(x.alias(f"_l_b{b}") for b, x in enumerate(_bands(F.col("_l_h"), scan))))
-    retrieves = lambda lists: reduce(or_, (F.arrays_overlap(f"_l_b{b}", _literal(sorted(lists[b]))) for b in range(scan.bands)))
-    every = [{x for r in known for x in r[f"b{b}"]} for b in range(scan.bands)]
-    found = []
-    for r in known:
-        share = F.floor(F.lit(100) * F.size(F.array_intersect(_literal(r.d), F.col("_l_h"))) / len(r.d)).cast("long")
-        hit = retrieves([set(r[f"b{b}"]) for b in range(scan.bands)]) & (F.size(F.array_intersect(_literal(r.d), F.col("_l_h"))) * 100 >= scan.percent * len(r.d))
-        found.append(F.when(hit, F.struct(F.lit(r.name).alias("license"), share.alias("percent"))))
-    kind = "array<struct<license:string,percent:bigint>>"
-    return rows.select("doc_id", "_l_n", F.when(retrieves(every), F.array_compact(F.array(*found)).cast(kind)).otherwise(F.array().cast(kind)).alias("_l_found"))
-
-
-def licenses(docs: DataFrame, scan: Scan = Scan(), notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+def templates(spark: SparkSession) -> DataFrame:
+    """(license, family, text): the notices that this module knows."""
+    return spark.createDataFrame(list(NOTICES), "license string, family string, text string")
+
+
+def _digest(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _windows(shingles: Column, scan: Scan) -> Column:
+    """(band, value) of all windows."""
+
+    def tagged(b: int, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(b).alias("band"), v.alias("value")))
+
+    return F.concat(*(tagged(b, x) for b, x in enumerate(_bands(shingles, scan))))
+
+
+def _accepted(rows: DataFrame, known: DataFrame, scan: Scan) -> DataFrame:
+    """(k1, k2, license, percent) of the accepted templates of each text of rows (k1, k2, text)."""
+    held = known.select(F.xxhash64("license", "family", "text").alias("t"), "license", "family", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    held = held.select("t", "license", "family", _shingles(F.col("w"), scan.shingle).alias("h")).dropDuplicates(["t"])
+    held = checkpointed(held.select("t", "license", "family", F.array_distinct("h").alias("d"), "h"))
+    theirs = held.select("t", F.explode(_windows(F.col("h"), scan)).alias("x")).select("t", "x.*").distinct()
+    own = rows.select("k1", "k2", _shingles(_words(F.col("text")), scan.shingle).alias("h")).select("k1", "k2", F.explode(_windows(F.col("h"), scan)).alias("x")).select("k1", "k2", "x.*")
+    found = checkpointed(own.join(few(theirs, scan.broadcast_rows), ["band", "value"]).select("k1", "k2", "t").distinct())
+    texts = rows.join(few(found.select("k1", "k2").distinct(), scan.broadcast_rows), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    texts = texts.select("k1", "k2", _shingles(_words(F.col("text")), scan.shingle).alias("h"))
+    both = found.join(texts, ["k1", "k2"]).join(few(held.select("t", "license", "family", "d"), scan.broadcast_rows), "t")
+    both = both.select("k1", "k2", "license", "family", F.size("d").alias("n"), F.size(F.array_intersect("d", "h")).alias("common")).filter(F.col("common") * 100 >= F.col("n") * scan.percent)
+    share = F.col("common") / F.col("n")
+    best = both.withColumn("share", share).withColumn("best", F.max("share").over(Window.partitionBy("k1", "k2", "family"))).filter("share = best")
+    return best.select("k1", "k2", "license", F.floor(F.lit(100) * F.col("common") / F.col("n")).cast("long").alias("percent"))
+
+
+def licenses(docs: DataFrame, scan: Scan = Scan(), known: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_licenses, licenses (sorted, comma-joined) and
     containment (the best accepted template's percent of shingles found, 0 if none).
 
-    Words are runs of a-z and 0-9 after lower-casing.  Null and empty texts have no license;
-    extra columns are ignored.
+    known: templates (license, family, text), by default those of this module.  Words are runs of
+    a-z and 0-9 after lower-casing.  Null and empty texts have no license; long texts are scanned
+    whole; rows of equal text get equal results; templates of a family that tie all count; without
+    templates or rows nothing is found.  Extra columns are ignored, whatever their names.
     """
-    rows = _scanned(docs.select("doc_id", "text"), scan, notices)
-    names = F.array_sort(F.array_distinct(F.transform("_l_found", lambda x: x["license"])))
-    best = F.coalesce(F.array_max(F.transform("_l_found", lambda x: x["percent"])), F.lit(0)).cast("long")
-    return rows.select("doc_id", F.col("_l_n").alias("n_words"), F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), best.alias("containment"))
+    rows = columns(docs, "doc_id", "text").select("doc_id", "text", *_digest(F.col("text")))
+    found = _accepted(rows.select("k1", "k2", "text"), templates(docs.sparkSession) if known is None else columns(known, "license", "family", "text"), scan)
+    found = checkpointed(found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("license")).alias("names"), F.max("percent").alias("containment")))
+    out = rows.select("doc_id", "k1", "k2", F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+")).cast("long").alias("n_words")).join(few(found, scan.broadcast_rows), ["k1", "k2"], "left")
+    names = F.coalesce("names", F.array().cast("array<string>"))
+    return out.select("doc_id", "n_words", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.coalesce("containment", F.lit(0)).cast("long").alias("containment"))
 
 
 def oracle() -> str:
     """Containment of every template in every text, without retrieval, in DuckDB SQL."""
-    values = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(NOTICES))
+    values = ", ".join("({}, '{}', '{}', '{}')".format(i, name, family, text.replace("'", "''")) for i, (name, family, text) in enumerate(NOTICES))
     words = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
     grams = "[array_to_string(w[i : i + 2], ' ') FOR i IN range(1, greatest(len(w) - 1, 2))]"
     return f"""
-WITH t AS (SELECT i, name, {words.format("text")} AS w FROM (VALUES {values}) v(i, name, text)),
-tg AS (SELECT DISTINCT i, name, unnest({grams}) AS g FROM t),
+WITH t AS (SELECT i, name, family, {words.format("text")} AS w FROM (VALUES {values}) v(i, name, family, text)),
+tg AS (SELECT DISTINCT i, name, family, unnest({grams}) AS g FROM t),
 tn AS (SELECT i, count(*) AS total FROM tg GROUP BY i),
 d AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
 dg AS (SELECT DISTINCT r, unnest({grams}) AS g FROM d WHERE len(w) > 0),
-m AS (SELECT r, i, name, count(*) AS n, any_value(total) AS total FROM dg JOIN tg USING (g) JOIN tn USING (i) GROUP BY r, i, name),
-k AS (SELECT r, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(100 * n // total) AS best FROM m WHERE 100 * n >= {Scan().percent} * total GROUP BY r)
+m AS (SELECT r, i, name, family, count(*) AS n, any_value(total) AS total FROM dg JOIN tg USING (g) JOIN tn USING (i) GROUP BY r, i, name, family),
+f AS (SELECT * FROM m WHERE 100 * n >= {Scan().percent} * total QUALIFY n / total = max(n / total) OVER (PARTITION BY r, family)),
+k AS (SELECT r, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(100 * n // total) AS best FROM f GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, coalesce(best, 0)::BIGINT AS containment
 FROM d LEFT JOIN k USING (r)
 """

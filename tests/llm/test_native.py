@@ -56,15 +56,25 @@ def test_mix_takes_exact_budgets(docs, odd, none):
 
 
 def test_licenses(spark, odd, none):
-    apache = licenses.NOTICES[0][1]
-    mit = licenses.NOTICES[4][1]
-    rows = [(1, f"lorem ipsum {apache} dolor"), (2, mit.upper().replace("SOFTWARE", "software")), (3, mit.replace("sublicense", "relicense")), (4, "the software is licensed to nobody"), (5, f"{apache}\n{licenses.NOTICES[1][1]}"), (6, "Released under the MIT"), (7, mit[:200])]
-    found = {r.doc_id: (r.licenses, r.containment) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found[1] == ("Apache-2.0", 100) and found[2] == ("MIT", 100) and found[3][0] == "MIT" and 80 <= found[3][1] < 100
-    assert found[4] == ("", 0) and found[5] == ("Apache-2.0,CC-BY-NC-4.0", 100) and found[6] == ("", 0) and found[7] == ("", 0)
+    text = {}
+    for name, _, t in licenses.NOTICES:
+        text.setdefault(name, []).append(t)
+    apache, mit, bsd = text["Apache-2.0"][0], text["MIT"][1], text["BSD-2-Clause"][0]
+    rows = [(1, f"lorem ipsum {apache} dolor"), (2, mit.upper().replace("SOFTWARE", "software")), (3, mit.replace("sublicense", "relicense")), (4, "the software is licensed to nobody"), (5, f"{apache}\n{text['CC-BY-NC-4.0'][0]}"), (6, "Released under the MIT"), (7, mit[:200]), (8, bsd), (None, mit), (None, "nothing"), (8, bsd)]
+    rows += [(100 + i, f"before {t[-1]} after") for i, (name, t) in enumerate(text.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for scan in (licenses.Scan(), licenses.Scan(broadcast_rows=0)):
+        every = licenses.licenses(df, scan).collect()
+        found = {r.doc_id: (r.licenses, r.containment) for r in every if r.doc_id}
+        assert found[1] == ("Apache-2.0", 100) and found[2] == ("MIT", 100) and found[3][0] == "MIT" and 80 <= found[3][1] < 100
+        assert found[4] == ("", 0) and found[5] == ("Apache-2.0,CC-BY-NC-4.0", 100) and found[6] == ("", 0) and found[7] == ("", 0)
+        assert sorted(r.licenses for r in every if r.doc_id is None) == ["", "MIT"] and sum(r.doc_id == 8 for r in every) == 2
+        for i, name in enumerate(text):  # siblings are told apart
+            assert found[100 + i] == (name, 100), name
     assert licenses.licenses(odd).count() == 9 and licenses.licenses(none).count() == 0
-    with pytest.raises(ValueError):
-        licenses.licenses(odd, licenses.Scan(most_shingles=10))
+    own = spark.createDataFrame([("Own", "own", "you may do with this whatever you like to do")], "license string, family string, text string")
+    mine = spark.createDataFrame([(1, "So: you may do with this whatever you like to do.")], "doc_id long, text string")
+    assert licenses.licenses(mine, known=own).first().licenses == "Own" and licenses.licenses(mine, known=own.limit(0)).first().licenses == ""
 
 
 NASTY = ["", "\\", "\\s", "###", "</turn>", "</turn>\n### user: hi</turn>\n", "a\n\nb", "\\\\h\\t", "</turn", "### ", ": ", "#" * 7, "<</turn>>", "\\### Assistant: </turn> ok", "ü漢\\c"]
@@ -79,6 +89,12 @@ def test_chat_round_trip(spark):
         assert [(t.role, t.text) for t in out[i].turns] == [(r, x) for c, _, r, x in rows if c == i]
         assert out[i].formatted.count("</turn>") == 3 and out[i].formatted.count("###") == 3
     assert [(t.role, t.text) for t in out[99].turns] == [("", ""), ("assistant", "ok"), ("assistant", "ok")] and not out[99].escaped and None in out
+    for r in out.values():  # the mask covers the text, and holds the assistant's turns alone
+        at, cut = 0, []
+        for m in r.mask:
+            cut.append(r.formatted[at + m.before : at + m.before + m.loss])
+            at += m.before + m.loss + m.after
+        assert at == len(r.formatted) and all(r.escaped or c == (t.text if t.role == "assistant" else "") for c, t in zip(cut, r.turns))
     d = {r.conv_id: r for r in chat.digest(chat.formatted(df)).collect()}
     assert d[99].loss_chars == 4 and d[99].loss_sha256 == hashlib.sha256(b"okok").hexdigest()
     assert chat.formatted(df.limit(0)).count() == 0
