@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.llm import decontam, dedup, mixing, perplexity, privacy
-from rivulet.llm.runtime import table, written
+from rivulet.llm.runtime import made, settle, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to documents; each result is written and read again.
+
+    Once a stage's result is written, its predecessor's and all that it wrote for itself go.
+    """
+    docs, before = table(spark, sf_dir, "documents"), made()
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")
+        settle(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -61,22 +61,31 @@ def report_text(table: DataFrame) -> str:
 # Binary scores --------------------------------------------------------------------------------
 
 
-def score_table(df: DataFrame, score: str, positive: str, digits: int = 1) -> DataFrame:
-    """(score, tp, fp, p, n, before...) cumulated from the highest score down.
+#: Distinct scores that a task sorts, on average, and the most ranges of scores.
+RANGE_SCORES, MOST_RANGES = 500_000, 1024
 
-    Rows are summed by distinct score first.  The running sums go over ranges of scores: those of
-    a range come from a table with a row for each, so no task sorts all scores.
+
+def score_table(df: DataFrame, score: str, positive: str, ranges: int | None = None) -> DataFrame:
+    """(score, pos, all, tp, fp, p, n, range) cumulated from the highest score down.
+
+    Rows are summed by distinct score first.  Scores are cut into ranges at their quantiles, as many
+    as there are scores for; the running sums of a range start from a table with a row for each
+    range, so no task sorts all scores.
     """
     hist = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(positive).cast("bigint")).alias("pos"), F.count("*").alias("all"))
-    hist = hist.withColumn("_range", F.round("score", digits))
-    own = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    if ranges is None:
+        ranges = min(MOST_RANGES, 1 + hist.count() // RANGE_SCORES)
+    borders = hist.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [] if ranges > 1 else []
+    held = F.array(*(F.lit(float(x)) for x in sorted(set(borders)))).cast("array<double>")
+    hist = hist.withColumn("range", F.size(F.filter(held, lambda b: b <= F.col("score"))))
+    own = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
-    ranges = hist.groupBy("_range").agg(F.sum("pos").alias("_p"), F.sum("all").alias("_a"))
-    ranges = ranges.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_p").over(own), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_a").over(own), F.lit(0)).alias("_a0"), F.sum("_p").over(everything).alias("p"), (F.sum("_a").over(everything) - F.sum("_p").over(everything)).alias("n"))
-    inside = Window.partitionBy("_range").orderBy(F.col("score").desc())
-    t = hist.join(ranges, F.col("_range") == F.col("_r"))
+    sums = hist.groupBy("range").agg(F.sum("pos").alias("_p"), F.sum("all").alias("_a"))
+    sums = sums.select(F.col("range").alias("_r"), F.coalesce(F.sum("_p").over(own), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_a").over(own), F.lit(0)).alias("_a0"), F.sum("_p").over(everything).alias("p"), (F.sum("_a").over(everything) - F.sum("_p").over(everything)).alias("n"))
+    inside = Window.partitionBy("range").orderBy(F.col("score").desc())
+    t = hist.join(F.broadcast(sums), F.col("range") == F.col("_r"))  # at most MOST_RANGES rows
     tp = F.col("_p0") + F.sum("pos").over(inside)
-    return t.select("score", "pos", "all", tp.alias("tp"), (F.col("_a0") + F.sum("all").over(inside) - tp).alias("fp"), "p", "n")
+    return t.select("score", "pos", "all", tp.alias("tp"), (F.col("_a0") + F.sum("all").over(inside) - tp).alias("fp"), "p", "n", "range")
 
 
 def roc_auc(table: DataFrame) -> DataFrame:
@@ -93,11 +102,21 @@ def average_precision(table: DataFrame) -> DataFrame:
 
 
 def roc_points(table: DataFrame) -> DataFrame:
-    """(threshold, tp, fp, p, n) of the corners of the curve; points on a straight line drop out."""
-    order = Window.orderBy(F.col("score").desc())
-    bend = lambda c: F.lag(c).over(order) + F.lead(c).over(order) != 2 * F.col(c)
-    ends = F.lag("tp").over(order).isNull() | F.lead("tp").over(order).isNull()
-    return table.withColumn("keep", ends | bend("tp") | bend("fp")).filter("keep").select(F.col("score").alias("threshold"), "tp", "fp", "p", "n")
+    """(threshold, tp, fp, p, n) of the corners of the curve; points on a straight line drop out.
+
+    A point's neighbours are looked up within its range of scores; those beyond the range's ends come
+    from a table with a row for each range.
+    """
+    point = F.struct("tp", "fp").alias("x")
+    ends = table.groupBy("range").agg(F.max_by(point, "score").alias("top"), F.min_by(point, "score").alias("bottom"))
+    down = Window.orderBy(F.col("range").desc())
+    ends = ends.select(F.col("range").alias("_r"), F.lag("bottom").over(down).alias("above"), F.lead("top").over(down).alias("below"))
+    order = Window.partitionBy("range").orderBy(F.col("score").desc())
+    t = table.join(F.broadcast(ends), F.col("range") == F.col("_r"))
+    t = t.withColumn("_before", F.coalesce(F.lag(F.struct("tp", "fp")).over(order), "above")).withColumn("_after", F.coalesce(F.lead(F.struct("tp", "fp")).over(order), "below"))
+    bend = lambda c: F.col(f"_before.{c}") + F.col(f"_after.{c}") != 2 * F.col(c)
+    keep = F.col("_before").isNull() | F.col("_after").isNull() | bend("tp") | bend("fp")
+    return t.filter(keep).select(F.col("score").alias("threshold"), "tp", "fp", "p", "n")
 
 
 def fpr_at_tpr(table: DataFrame, least: float = 0.95) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from rivulet.operators.cluster import with_centroid_distance
 
+#: Rows that silhouettes may compare with each other.
+MOST_SAMPLE = 100_000
+
 # Internal -------------------------------------------------------------------------------------
 
 
@@ -51,9 +54,11 @@ def calinski_harabasz(df: DataFrame, cluster: str = "cluster_id", column: str =
 def silhouette_rows(df: DataFrame, key: str, cluster: str = "cluster_id", column: str = "features", block: int = 256) -> DataFrame:
     """(key, cluster, silhouette) of a sample.
 
-    The sample is broadcast (callers bound it) and each task compares its rows with it, block by
-    block, so no pair is ever a row.
+    The sample, of MOST_SAMPLE rows at most, is broadcast and each task compares its rows with it,
+    block by block, so no pair is ever a row.
     """
+    if df.limit(MOST_SAMPLE + 1).count() > MOST_SAMPLE:
+        raise ValueError(f"silhouettes are of samples of at most {MOST_SAMPLE} rows")
     found = df.select(key, cluster, F.col(column).cast("array<double>").alias("x")).toArrow()
     points = np.array(found.column("x").to_pylist(), float)
     names, labels = np.unique(np.array(found.column(cluster).to_pylist()), return_inverse=True)

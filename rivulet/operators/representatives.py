@@ -58,6 +58,8 @@ def stratified(df: DataFrame, key: str, cfg: Config, target: str = "label") -> D
     draw = F.xxhash64(F.lit(cfg.random_state), key)
     rows = df.withColumn("_t", cls).join(F.broadcast(counts), F.col(CLUSTER).eqNullSafe(F.col("_cl")) & F.col("_t").eqNullSafe(F.col("_class")))
     rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(CLUSTER, "_t").orderBy(draw, key)))
+    # no more than a cluster's budget can be chosen of a class, so tasks keep only that many before the shuffle
+    rows = rows.filter(F.col("_place") <= cfg.representatives_per_cluster)
     # only the first rows of a class can be chosen, so the second ranking sees few
     rows = rows.filter(F.col("_place") <= F.col("_quota") + F.col("_left")).withColumn("_spare", F.col("_place") > F.col("_quota"))
     fill = F.row_number().over(Window.partitionBy(CLUSTER, "_spare").orderBy(draw, key))

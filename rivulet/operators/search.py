@@ -103,13 +103,13 @@ def execute(df: DataFrame, key: str, representation: str, k: int, seed: int, roo
     return record, rows
 
 
-def stage(frames: dict[str, DataFrame], key: str, ks: Iterable[int], seeds: Iterable[int], root: str | Path, sample: int = 20_000) -> DataFrame:
-    """All runs of a grid, resumable; a table with a row for each configuration."""
+def stage(frames: dict[str, DataFrame], key: str, ks: Iterable[int], seeds: Iterable[int], root: str | Path, sample: int = 20_000, retry_invalid: bool = False) -> DataFrame:
+    """All runs of a grid, resumable, invalid ones only run again if asked; a table with a row for each configuration."""
     ks, seeds, rows = list(ks), list(seeds), []
     spark = next(iter(frames.values())).sparkSession
     for name, frame in frames.items():
         for k in ks:
-            done = {s: execute(frame, key, name, k, s, root, sample=sample) for s in seeds}
+            done = {s: execute(frame, key, name, k, s, root, sample=sample, retry_invalid=retry_invalid) for s in seeds}
             if any(r["status"] != "VALID" for r, _ in done.values()):
                 continue
             steady = clustermetrics.stability({s: a for s, (_, a) in done.items()}, key)

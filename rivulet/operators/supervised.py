@@ -36,8 +36,10 @@ class Forest:
 
 def fit(train: DataFrame, target: str, cfg: Config, column: str = "features") -> Forest:
     """cpu semantics weigh rows by N / (C n_c); gpu semantics don't, and use 128 bins."""
-    counts = {r.c: r.n for r in train.filter(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("c")).agg(F.count("*").alias("n")).limit(MOST_CLASSES).collect()}
+    counts = {r.c: r.n for r in train.filter(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("c")).agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()}
     classes = sorted(counts)
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"{target} has more than {MOST_CLASSES} classes")
     if not classes:
         raise ValueError(f"no training rows with {target}")
     if len(classes) == 1:

@@ -7,6 +7,8 @@ given clusters, labels a truth and a prediction.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from functools import partial
 
@@ -970,3 +972,35 @@ def forest_classes(spark, sf_dir):
     best = F.array_position("probability", F.array_max("probability"))
     wrong = scored.filter(F.element_at(F.array(*map(F.lit, forest.classes)), best.cast("int")) != F.col("predicted")).count()
     return spark.createDataFrame([(c, i, wrong == 0) for i, c in enumerate(forest.classes)], "class string, code bigint, seen boolean")
+
+
+# Sources --------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder where all executors can read and write."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="rivulet-")
+    return f"{base.rstrip('/')}/rivulet-tables-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_tokens_sql()} SELECT orig_pos, CASE WHEN orig_pos % 3 = 0 THEN 'a/x.csv' ELSE 'b.csv' END AS source_id, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in _TOKENS) + " FROM raw")
+def csv_tokens(spark, sf_dir):
+    """Cells written as CSV into two files and read back as they are; null and empty both come back empty."""
+    folder, rows = _folder(spark), tokens(spark, sf_dir)
+    for name, part in (("a/x.csv", rows.filter("orig_pos % 3 = 0")), ("b.csv", rows.filter("orig_pos % 3 <> 0"))):
+        part.select(F.col("orig_pos").cast("string").alias("uid"), *_TOKENS).coalesce(1).write.option("header", True).csv(f"{folder}/{name}")
+    files = [uri for uri, _ in readers.resolve(spark, f"{folder}")]
+    parts = [readers.read_csv(spark, uri).withColumn("source_id", F.lit("a/x.csv" if "/a/x.csv/" in uri else "b.csv")) for uri in files]
+    both = parts[0].unionByName(parts[1])
+    return both.select(F.col("uid").cast("bigint").alias("orig_pos"), "source_id", *_TOKENS)
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS orig_pos, 'events.parquet' AS source_id, event_type FROM events")
+def parquet_rows(spark, sf_dir):
+    """Rows of a Parquet file with their place in reading order."""
+    raw = readers.with_position(readers.load_raw(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+    return raw.select("event_id", F.col("orig_pos").cast("bigint").alias("orig_pos"), F.col(readers.SOURCE_ID).alias("source_id"), "event_type")
