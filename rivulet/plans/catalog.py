@@ -992,7 +992,7 @@ def csv_tokens(spark, sf_dir):
     """Cells written as CSV into two files and read back as they are; null and empty both come back empty."""
     folder, rows = _folder(spark), tokens(spark, sf_dir)
     for name, part in (("a/x.csv", rows.filter("orig_pos % 3 = 0")), ("b.csv", rows.filter("orig_pos % 3 <> 0"))):
-        part.select(F.col("orig_pos").cast("string").alias("uid"), *_TOKENS).coalesce(1).write.option("header", True).csv(f"{folder}/{name}")
+        part.select(F.col("orig_pos").cast("string").alias("uid"), *_TOKENS).coalesce(1).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}/{name}")
     files = [uri for uri, _ in readers.resolve(spark, f"{folder}")]
     parts = [readers.read_csv(spark, uri).withColumn("source_id", F.lit("a/x.csv" if "/a/x.csv/" in uri else "b.csv")) for uri in files]
     both = parts[0].unionByName(parts[1])
