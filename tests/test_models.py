@@ -224,3 +224,12 @@ def test_pareto_and_decisions(spark, tmp_path):
     with pytest.raises(ValueError):
         search.unseal(a | {"approved_by": "you"})
     assert len(search.grid("abcd", range(8), (1, 2, 3))) == 96
+
+
+def test_curves_don_t_depend_on_ranges_of_scores(spark):
+    """Running sums and corners across the ranges' ends."""
+    rows = [(int(i % 7 in (0, 3) or i > 150), float((i * 37) % 101) / 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    for f in (lambda t: t.drop("range"), V.roc_points, V.roc_auc, V.average_precision, V.fpr_at_tpr):
+        one, many = (sorted(tuple(r) for r in f(V.score_table(df, "s", "y", n)).collect()) for n in (1, 6))
+        assert len(one) == len(many) and all(a == pytest.approx(b) for a, b in zip(one, many))
