@@ -103,17 +103,22 @@ def _windows(shingles: Column, scan: Scan) -> Column:
     return F.concat(*(tagged(b, x) for b, x in enumerate(_bands(shingles, scan))))
 
 
+def _shingled(rows: DataFrame, scan: Scan) -> DataFrame:
+    """(k1, k2, h) of a table (k1, k2, text).  Words are a column of their own, as an expression
+    within the shingles' function would be evaluated for each of them."""
+    return rows.select("k1", "k2", _words(F.col("text")).alias("w")).select("k1", "k2", _shingles(F.col("w"), scan.shingle).alias("h"))
+
+
 def _accepted(rows: DataFrame, known: DataFrame, scan: Scan) -> DataFrame:
     """(k1, k2, license, percent) of the accepted templates of each text of rows (k1, k2, text)."""
     held = known.select(F.xxhash64("license", "family", "text").alias("t"), "license", "family", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     held = held.select("t", "license", "family", _shingles(F.col("w"), scan.shingle).alias("h")).dropDuplicates(["t"])
     held = checkpointed(held.select("t", "license", "family", F.array_distinct("h").alias("d"), "h"))
     theirs = held.select("t", F.explode(_windows(F.col("h"), scan)).alias("x")).select("t", "x.*").distinct()
-    own = rows.select("k1", "k2", _shingles(_words(F.col("text")), scan.shingle).alias("h")).select("k1", "k2", F.explode(_windows(F.col("h"), scan)).alias("x")).select("k1", "k2", "x.*")
+    own = _shingled(rows, scan).select("k1", "k2", F.explode(_windows(F.col("h"), scan)).alias("x")).select("k1", "k2", "x.*")
     found = checkpointed(own.join(few(theirs, scan.broadcast_rows), ["band", "value"]).select("k1", "k2", "t").distinct())
     texts = rows.join(few(found.select("k1", "k2").distinct(), scan.broadcast_rows), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    texts = texts.select("k1", "k2", _shingles(_words(F.col("text")), scan.shingle).alias("h"))
-    both = found.join(texts, ["k1", "k2"]).join(few(held.select("t", "license", "family", "d"), scan.broadcast_rows), "t")
+    both = found.join(_shingled(texts, scan), ["k1", "k2"]).join(few(held.select("t", "license", "family", "d"), scan.broadcast_rows), "t")
     both = both.select("k1", "k2", "license", "family", F.size("d").alias("n"), F.size(F.array_intersect("d", "h")).alias("common")).filter(F.col("common") * 100 >= F.col("n") * scan.percent)
     share = F.col("common") / F.col("n")
     best = both.withColumn("share", share).withColumn("best", F.max("share").over(Window.partitionBy("k1", "k2", "family"))).filter("share = best")
