@@ -11,6 +11,7 @@ window to window, and set to zero where a lane's next text begins.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,13 +40,27 @@ class Shape:
         return self.words + self.rare_classes
 
 
+class Room:
+    """Arrays used again from one window to the next; fresh pages cost as much as the sums in them."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[str, np.dtype], np.ndarray] = {}
+
+    def __call__(self, name: str, size: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        """An array of any content, which lasts until the name is asked for again."""
+        n, key = int(np.prod(size)), (name, kind)
+        if key not in self.held or len(self.held[key]) < n:
+            self.held[key] = np.empty(n, kind)
+        return self.held[key][:n].reshape(size)
+
+
 class Gru:
     """Weights.  Tokens below ``words`` are frequent words, the others rare classes."""
 
     NAMES = ("g", "u", "wc", "bc", "ww", "bw")
 
     def __init__(self, shape: Shape, weights: dict[str, np.ndarray]):
-        self.shape = shape
+        self.shape, self.room = shape, Room()
         for name in self.NAMES:
             setattr(self, name, weights[name])
 
@@ -74,27 +89,20 @@ class Gru:
             out[name], at = flat[at : at + n].reshape(size).copy(), at + n
         return cls(shape, out)
 
-    def step(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state, and what the gradient needs: both gates, the candidate and its past part.
+    def apart(self, rows: np.ndarray) -> np.ndarray:
+        """The columns for z, r and the candidate one after the other; of z and r the negatives."""
+        out = np.ascontiguousarray(rows.reshape(len(rows), 3, -1).swapaxes(0, 1))
+        np.negative(out[:2], out=out[:2])
+        return out
+
+    def step(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Next state, both gates with the past's part of the candidate, and the candidate.
 
         own: the rows of g of the inputs.
         """
-        n = self.shape.hidden
-        gates = h @ self.u
-        un = gates[:, 2 * n :].copy()
-        gates[:, : 2 * n] += own[:, : 2 * n]
-        zr = np.negative(gates[:, : 2 * n])
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        z, r = zr[:, :n], zr[:, n:]
-        new = r * un
-        new += own[:, 2 * n :]
-        np.tanh(new, out=new)
-        out = h - new
-        out *= z
-        out += new
-        return out, zr, new, un
+        gates, new, out = np.empty((3, *h.shape), h.dtype), np.empty_like(h), np.empty_like(h)
+        _step(h, self.apart(own), self.apart(self.u), gates, new, out)
+        return out, gates, new
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray] | None]:
         """Natural log p of tokens y after states h; with grad the loss's gradients too.
@@ -105,14 +113,17 @@ class Gru:
         kind = np.where(y < s.words, y // s.per_class, y - s.words + s.classes).astype(np.uint8)
         order = np.argsort(kind, kind="stable")
         kind, y = kind[order], y[order]
-        h = np.concatenate([h[order], np.ones((size, 1), h.dtype)], 1)  # the last feature is the bias
+        past, n, room = h, s.hidden, self.room
+        h = room("features", (size, n + 1), past.dtype)
+        h[:, :n] = np.take(past, order, axis=0, out=room("sorted", (size, n), past.dtype), mode="clip")
+        h[:, n] = 1  # the last feature is the bias
         wc = np.vstack([self.wc, self.bc])
-        each, own = _softmax(h @ wc, kind, _steep(wc), grad)
+        each, own = _softmax(np.matmul(h, wc, out=room("each", (size, wc.shape[1]), h.dtype)), kind, _steep(wc), grad)
         upto = int(np.searchsorted(kind, s.classes))  # the others are rare classes
         bounds = np.searchsorted(kind, np.arange(s.classes + 1)).tolist()
         ww = np.concatenate([self.ww, self.bw[:, None, :]], 1)
         blocks = [(c, lo, hi) for c, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])) if hi > lo]
-        inner = np.empty((upto, s.per_class), each.dtype)
+        inner = room("inner", (upto, s.per_class), each.dtype)
         for c, lo, hi in blocks:
             np.matmul(h[lo:hi], ww[c], out=inner[lo:hi])
         word = y[:upto] - kind[:upto].astype(y.dtype) * s.per_class
@@ -125,15 +136,31 @@ class Gru:
         each[np.arange(size), kind] -= 1
         inner[np.arange(upto), word] -= 1
         d_wc, d_ww = h.T @ each, np.zeros_like(ww)
-        d_h = each @ self.wc.T
+        d_h = np.matmul(each, self.wc.T, out=room("d_h", (size, n), h.dtype))
         for c, lo, hi in blocks:
             np.matmul(h[lo:hi].T, inner[lo:hi], out=d_ww[c])
             d_h[lo:hi] += inner[lo:hi] @ self.ww[c].T
-        back = np.empty_like(d_h)
+        back = room("back", (size, n), h.dtype)
         back[order] = d_h
         return out, {"wc": d_wc[:-1], "bc": d_wc[-1], "ww": d_ww[:, :-1], "bw": d_ww[:, -1], "h": back}
 
 
+def _step(h: np.ndarray, own: np.ndarray, u: np.ndarray, gates: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+    """Gru.step() of weights that lie apart, into given arrays."""
+    np.matmul(h, u, out=gates)
+    zr = gates[:2]
+    np.add(zr, own[:2], zr)
+    np.exp(zr, zr)
+    np.add(zr, 1, zr)
+    np.reciprocal(zr, zr)
+    np.multiply(zr[1], gates[2], new)
+    np.add(new, own[2], new)
+    np.tanh(new, new)
+    np.subtract(h, new, out)
+    np.multiply(out, zr[0], out)
+    np.add(out, new, out)
+
+
 def _steep(w: np.ndarray) -> bool:
     """Whether logits may be large; states lie within -1 and 1, so the weights' sums bound them."""
     return bool(np.abs(w).sum(-2).max() > 40)
@@ -174,6 +201,20 @@ class Lanes:
         on = lane < self.active[lo:hi, None]
         return np.where(on, self.first[lo:hi, None] + lane, 0), on
 
+    def windows(self, window: int) -> Iterator[tuple[int, int]]:
+        """The steps from one window to another."""
+        steps = len(self.active)
+        return ((lo, min(lo + window, steps)) for lo in range(0, steps, window))
+
+    def stretches(self, window: int) -> Iterator[tuple[int, int]]:
+        """Windows taken together: one while all lanes go on, then as many as hold no more cells than
+        the first, so that what is done once a stretch costs the few lanes of long texts no more."""
+        lo, steps = 0, len(self.active)
+        while lo < steps:
+            hi = min(steps, lo + window * int(self.active[0] // self.active[lo]))
+            yield lo, hi
+            lo = hi
+
 
 def deal(texts: list[np.ndarray], lanes: int, end: int) -> Lanes:
     """Longest first, each to the lane with the least; a text's first input is the end token."""
@@ -207,28 +248,32 @@ def score(net: Gru, texts: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-likelihood of each text, from its first token to its last."""
     if not texts:
         return np.zeros(0)
-    s, held = net.shape, deal(texts, net.shape.score_lanes, end)
-    steps = len(held.active)
-    logp = np.zeros(len(held.x))
-    h = np.zeros((int(held.active[0]) if steps else 0, s.hidden), net.u.dtype)
-    for lo in range(0, steps, s.window):
-        hi = min(lo + s.window, steps)
-        cells, on = held.cells(lo, hi)
-        own, fresh = net.g.take(held.x[cells], axis=0), held.fresh[cells] & on
-        states = np.zeros((*on.shape, s.hidden), net.u.dtype)
-        for t, a in enumerate(held.active[lo:hi].tolist()):
+    s, held, kind = net.shape, deal(texts, net.shape.score_lanes, end), net.u.dtype
+    logp, n = np.zeros(len(held.x)), s.hidden
+    h = np.zeros((int(held.active[0]) if len(held.active) else 0, n), kind)
+    g, u, work = net.apart(net.g), net.apart(net.u), np.empty((4, *h.shape), kind)
+    for lo, hi in held.stretches(s.window):
+        at, upto = int(held.first[lo]), int(held.first[hi - 1] + held.active[hi - 1])
+        x, fresh = held.x[at:upto], held.fresh[at:upto]
+        own = np.take(g, x, axis=1, out=net.room("own", (3, upto - at, n), kind), mode="clip")
+        states, firsts = net.room("states", (upto - at, n), kind), held.first[lo:hi] - at
+        any_fresh = np.logical_or.reduceat(fresh, firsts).tolist()
+        for a, i, renew in zip(held.active[lo:hi].tolist(), firsts.tolist(), any_fresh):
             h = h[:a]
-            if fresh[t, :a].any():
-                h = h * ~fresh[t, :a, None]
-            h = net.step(h, own[t, :a])[0]
-            states[t, :a] = h
-        cells = cells[on]
-        logp[cells] = net.outputs(states[on], held.y[cells])[0]
+            if renew:
+                h = h * ~fresh[i : i + a, None]
+            _step(h, own[:, i : i + a], u, work[:3, :a], work[3, :a], states[i : i + a])
+            h = states[i : i + a]
+        h = h.copy()
+        logp[at:upto] = net.outputs(states, held.y[at:upto])[0]
     return np.bincount(held.owner, logp, len(texts)) if len(logp) else np.zeros(len(texts))
 
 
 class Trainer:
-    """Truncated backpropagation: gradients stop at a window's start, the state does not."""
+    """Truncated backpropagation: gradients stop at a window's start, the state does not.
+
+    So the windows of a stretch go back side by side, like lanes of one window.
+    """
 
     def __init__(self, net: Gru, squares: Gru | None = None):
         """squares: the sums of squared gradients so far, in the weights' own form."""
@@ -244,76 +289,106 @@ class Trainer:
         return cls(Gru.from_bytes(shape, raw[:half]), Gru.from_bytes(shape, raw[half:]))
 
     def gradients(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, on: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Loss and gradients over a window, and the state after it; h is the state before it."""
-        net, n = self.net, self.net.shape.hidden
-        steps, lanes = x.shape
-        size = (steps, lanes, n)
-        kind = net.u.dtype
-        states, past, new, un = (np.empty(size, kind) for _ in range(4))
-        zr = np.empty((steps, lanes, 2 * n), kind)
-        any_fresh, own = fresh.any(1), net.g.take(x, axis=0)
-        for t in range(steps):
-            past[t] = h
-            if any_fresh[t]:
-                past[t][fresh[t]] = 0
-            h, zr[t], new[t], un[t] = net.step(past[t], own[t])
-            states[t] = h
+        """Loss and gradients over a window or a stretch of windows, and the state after it; h is the
+        state before it.  Of a stretch only the last window may be short, and no state comes after that."""
+        net, n, room = self.net, self.net.shape.hidden, self.net.room
+        (steps, lanes), kind = x.shape, net.u.dtype
+        width = min(steps, net.shape.window)
+        parts = -(-steps // width)
+
+        def folded(table: np.ndarray) -> np.ndarray:
+            """Windows side by side, as no gradient passes from one to another."""
+            if parts == 1:
+                return table
+            table = np.concatenate([table, np.zeros((parts * width - steps, lanes), table.dtype)])
+            return table.reshape(parts, width, lanes).swapaxes(0, 1).reshape(width, parts * lanes)
+
+        x, y, fresh, on = (folded(table) for table in (x, y, fresh, on))
+        size = (width, parts * lanes, n)
+        states, past, new = (room(name, size, kind) for name in ("states", "past", "new"))
+        own, gates = (room(name, (3, *size), kind) for name in ("own", "gates"))
+        np.take(net.apart(net.g), x, axis=1, out=own, mode="clip")
+        u, any_fresh = net.apart(net.u), fresh.any(1).tolist()
+        for i in range(0, parts * lanes, lanes):
+            part = slice(i, i + lanes)
+            views = (own.swapaxes(0, 1)[:, :, part], gates.swapaxes(0, 1)[:, :, part], new[:, part], states[:, part])
+            for then, renew, begins, mine, *into in zip(past[:, part], any_fresh, fresh[:, part], *views):
+                then[:] = h
+                if renew:
+                    then[begins] = 0
+                _step(then, mine, u, *into)
+                h = into[-1]
+        h = h.copy()
         full = bool(on.all())
         logp, d = net.outputs(states.reshape(-1, n) if full else states[on], y.ravel() if full else y[on], True)
-        d_states = d.pop("h").reshape(size) if full else np.zeros(size, kind)
+        d_states = d.pop("h").reshape(size) if full else room("d_states", size, kind)
         if not full:
+            d_states[:] = 0
             d_states[on] = d.pop("h")
         # what a state's gradient is multiplied by on its way to z, the candidate and r
-        z, r = zr[..., :n], zr[..., n:]
-        to_z = (past - new) * z * (1 - z)
-        to_new = (1 - z) * (1 - new * new)
-        to_r = un * r * (1 - r)
-        through, d_new = np.empty((steps, lanes, 3 * n), kind), np.empty(size, kind)
-        back, turned = np.zeros((lanes, n), kind), np.ascontiguousarray(net.u.T)
-        for t in range(steps - 1, -1, -1):
+        z, r, to_r = gates
+        rest, to_z, to_new = (room(name, size, kind) for name in ("rest", "to_z", "to_new"))
+        np.subtract(1, r, out=rest)
+        to_r *= r
+        to_r *= rest
+        np.subtract(1, z, out=rest)
+        np.subtract(past, new, out=to_z)
+        to_z *= z
+        to_z *= rest
+        np.multiply(new, new, out=to_new)
+        np.subtract(1, to_new, out=to_new)
+        to_new *= rest
+        through = room("through", (width, parts * lanes, 3 * n), kind)
+        back, turned = np.zeros(size[1:], kind), np.ascontiguousarray(net.u.T)
+        for t in range(width - 1, -1, -1):
             back += d_states[t]
-            part = through[t]
+            part, d_new = through[t], to_new[t]
             np.multiply(back, to_z[t], out=part[:, :n])
-            np.multiply(back, to_new[t], out=d_new[t])
-            np.multiply(d_new[t], to_r[t], out=part[:, n : 2 * n])
-            np.multiply(d_new[t], r[t], out=part[:, 2 * n :])
+            d_new *= back
+            np.multiply(d_new, to_r[t], out=part[:, n : 2 * n])
+            np.multiply(d_new, r[t], out=part[:, 2 * n :])
             back *= z[t]
-            back += part @ turned
+            back += np.matmul(part, turned, out=room("d_h", back.shape, kind))
             if any_fresh[t]:
                 back[fresh[t]] = 0
         flat = through.reshape(-1, 3 * n)
-        u = past.reshape(-1, n).T @ flat
-        flat[:, 2 * n :] = d_new.reshape(-1, n)
+        d_u = past.reshape(-1, n).T @ flat
+        flat[:, 2 * n :] = to_new.reshape(-1, n)
         order = np.argsort(x, axis=None, kind="stable")
         inputs = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, inputs[1:] != inputs[:-1]])
-        g = np.zeros_like(net.g)
-        g[inputs[first]] = np.add.reduceat(flat[order], first)
-        return -float(logp.sum()), d | {"g": g, "u": u}, h
+        g, flat = np.zeros_like(net.g), np.take(flat, order, axis=0, out=room("sorted", flat.shape, kind), mode="clip")
+        if n % 2 == 0:  # a sum of complex numbers is two sums in one pass
+            flat = flat.view(np.dtype(f"c{2 * kind.itemsize}"))
+        g[inputs[first]] = np.add.reduceat(flat, first).view(kind)
+        return -float(logp.sum()), d | {"g": g, "u": d_u}, h
 
     def update(self, grads: dict[str, np.ndarray]) -> None:
         """Summed gradients by the size of a full window, so that the few lanes in which a long text
         goes on alone move the weights less than many."""
         full = self.net.shape.train_lanes * self.net.shape.window
         for name, grad in grads.items():
-            grad = np.multiply(grad, np.float32(1 / np.sqrt(full)))
-            held, work = self.squares[name], np.multiply(grad, grad)
-            held += work
+            held, work = self.squares[name], self.net.room("work", grad.shape, grad.dtype)
+            grad *= np.float32(1 / np.sqrt(full))
+            held += np.multiply(grad, grad, out=work)
             np.sqrt(held, out=work)
             grad /= work
             grad *= np.float32(self.net.shape.rate)
             getattr(self.net, name).__isub__(grad)
 
-    def run(self, texts: list[np.ndarray], end: int) -> tuple[int, float]:
-        """One pass over the texts; tokens seen and their summed loss."""
+    def run(self, texts: list[np.ndarray], end: int, begun: bool = False) -> tuple[int, float]:
+        """One pass over the texts; tokens seen and their summed loss.
+
+        begun: the network has learned before.  Only then is there one update for a whole stretch:
+        one that begins needs many, and the windows of a long text alone are most of a small corpus's.
+        """
         texts = [t for t in texts if len(t)]
         if not texts:
             return 0, 0.0
         s, held = self.net.shape, deal(texts, self.net.shape.train_lanes, end)
-        steps, seen, lost = len(held.active), 0, 0.0
+        seen, lost = 0, 0.0
         h = np.zeros((int(held.active[0]), s.hidden), self.net.u.dtype)
-        for lo in range(0, steps, s.window):
-            hi = min(lo + s.window, steps)
+        for lo, hi in held.stretches(s.window) if begun else held.windows(s.window):
             cells, on = held.cells(lo, hi)
             loss, grads, h = self.gradients(h[: on.shape[1]], held.x[cells], held.y[cells], held.fresh[cells] & on, on)
             self.update(grads)

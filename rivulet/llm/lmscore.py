@@ -9,7 +9,8 @@ a hash of id and text, whose number follows the corpus alone; in each of a few r
 shards is trained on, every shard by a copy of the network of its own, and the copies are averaged
 by tokens seen.  The rounds begin with few shards and together hold each training document once, so
 later rounds start from what earlier ones learned, and the result doesn't depend on how Spark
-partitions the input.
+partitions the input.  The first round makes an update for each window; later ones make one for a
+whole stretch of windows in which only the few lanes of long texts go on.
 
 The counts of the ``dictionary`` most frequent words go to the tasks as a sorted hash array of
 bounded size.  The tokens beyond it are joined with the counts by hash; each is at most one in
@@ -235,17 +236,17 @@ def train(docs: DataFrame, vocab: Vocabulary, lm: Lm) -> Gru:
             break
         held = docs.sparkSession.sparkContext.broadcast(state.to_bytes())
 
-        def local(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+        def local(batches: Iterator[pa.RecordBatch], held: Broadcast = held, begun: bool = done > 0) -> Iterator[pa.RecordBatch]:
             at, group = None, []
             for batch in batches:
                 for shard, ids in zip(batch.column("shard").to_pylist(), _ids(batch.column("ids"))):
                     if shard != at and group:
-                        yield _trained(held.value, shape, at, group, end)
+                        yield _trained(held.value, shape, at, group, end, begun)
                         group = []
                     at = shard
                     group.append(ids)
             if group:
-                yield _trained(held.value, shape, at, group, end)
+                yield _trained(held.value, shape, at, group, end, begun)
 
         own = rows.filter((F.col("shard") >= done) & (F.col("shard") < upto)).repartitionByRange(upto - done, "shard").sortWithinPartitions("shard", "k", "ids")
         state = _averaged(written(own.mapInArrow(local, _COPY), "copies"), shape) or state
@@ -257,9 +258,9 @@ def train(docs: DataFrame, vocab: Vocabulary, lm: Lm) -> Gru:
 _COPY = "shard long, w binary, n long"
 
 
-def _trained(raw: bytes, shape: Shape, shard: int, group: list[np.ndarray], end: int) -> pa.RecordBatch:
+def _trained(raw: bytes, shape: Shape, shard: int, group: list[np.ndarray], end: int, begun: bool) -> pa.RecordBatch:
     own = Trainer.from_bytes(shape, raw)
-    seen = own.run(group, end)[0]
+    seen = own.run(group, end, begun)[0]
     return _blob(shard, own.to_bytes(), seen)
 
 

@@ -114,6 +114,34 @@ def test_one_long_text_takes_no_room_in_other_lanes():
     assert [np.sort(held.y[held.owner == i]).tolist() for i in range(4)] == [np.sort(t).tolist() for t in texts]
 
 
+def test_windows_of_a_stretch_go_back_side_by_side():
+    """Its loss and gradients are the sums of its windows' under the same weights."""
+    model, rng = net()
+    t = Trainer(model)
+    x, y, fresh, on = rng.integers(0, 8, (23, 2)), rng.integers(0, 8, (23, 2)), rng.random((23, 2)) < 0.1, np.ones((23, 2), bool)
+    on[17:, 1] = False
+    h = begins = rng.normal(0, 0.5, (2, 4))
+    lost, sums = 0.0, None
+    for lo in range(0, 23, 5):
+        loss, grads, h = t.gradients(h, *(table[lo : lo + 5] for table in (x, y, fresh, on)))
+        lost, sums = lost + loss, grads if sums is None else {name: sums[name] + grads[name] for name in sums}
+    loss, grads, _ = t.gradients(begins, x, y, fresh, on)
+    assert loss == pytest.approx(lost)
+    for name in model.NAMES:
+        assert grads[name] == pytest.approx(sums[name], abs=1e-9), name
+
+
+def test_a_long_text_costs_no_update_for_each_of_its_windows():
+    model, rng = net(np.float32)
+    texts = [rng.integers(0, 8, n).astype(np.int32) for n in (4000, 40, 40)]
+    held, trainer, made = deal(texts, 3, 0), Trainer(model), []
+    assert [lo for lo, _ in held.stretches(5)] == [hi for _, hi in [(0, 0), *held.stretches(5)]][:-1] and [*held.stretches(5)][-1][1] == 4000
+    trainer.update = lambda grads: made.append(1)
+    assert trainer.run(texts, 0, begun=True)[0] == 4080 and len(made) == 8 + 264
+    made.clear()
+    assert trainer.run(texts, 0)[0] == 4080 and len(made) == 800
+
+
 def learned(df, lm):
     from pyspark.sql import functions as F
 
