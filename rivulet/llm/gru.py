@@ -117,29 +117,36 @@ class Gru:
         h = room("features", (size, n + 1), past.dtype)
         h[:, :n] = np.take(past, order, axis=0, out=room("sorted", (size, n), past.dtype), mode="clip")
         h[:, n] = 1  # the last feature is the bias
-        wc = np.vstack([self.wc, self.bc])
-        each, own = _softmax(np.matmul(h, wc, out=room("each", (size, wc.shape[1]), h.dtype)), kind, _steep(wc), grad)
-        upto = int(np.searchsorted(kind, s.classes))  # the others are rare classes
-        bounds = np.searchsorted(kind, np.arange(s.classes + 1)).tolist()
-        ww = np.concatenate([self.ww, self.bw[:, None, :]], 1)
-        blocks = [(c, lo, hi) for c, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])) if hi > lo]
-        inner = room("inner", (upto, s.per_class), each.dtype)
-        for c, lo, hi in blocks:
-            np.matmul(h[lo:hi], ww[c], out=inner[lo:hi])
-        word = y[:upto] - kind[:upto].astype(y.dtype) * s.per_class
-        inner, found = _softmax(inner, word, _steep(ww), grad)
-        own[:upto] += found
-        out = np.empty(size, own.dtype)
-        out[order] = own
+        wc, ww = np.vstack([self.wc, self.bc]), np.concatenate([self.ww, self.bw[:, None, :]], 1)
+        steep, steep_within = _steep(wc), _steep(ww)
+        bounds = np.searchsorted(kind, np.arange(s.classes + 1))  # from the last on they are rare classes
+        found, d_wc, d_ww, d_h = np.empty(size, h.dtype), np.zeros_like(wc), np.zeros_like(ww), room("d_h", (size, n), h.dtype)
+        for begin, end in _chunks(bounds.tolist(), size):
+            part, own, count = h[begin:end], kind[begin:end], np.arange(end - begin)
+            each = np.matmul(part, wc, out=room("each", (end - begin, wc.shape[1]), h.dtype))
+            found[begin:end] = _softmax(each, own, steep, grad)
+            if grad:
+                each[count, own] -= 1
+                d_wc += part.T @ each
+                np.matmul(each, self.wc.T, out=d_h[begin:end])
+            if begin >= bounds[-1]:
+                continue
+            blocks = [(c, int(bounds[c]) - begin, int(bounds[c + 1]) - begin) for c in range(int(own[0]), int(own[-1]) + 1) if bounds[c + 1] > bounds[c]]
+            inner = room("inner", (end - begin, s.per_class), h.dtype)
+            for c, lo, hi in blocks:
+                np.matmul(part[lo:hi], ww[c], out=inner[lo:hi])
+            word = y[begin:end] - own.astype(y.dtype) * s.per_class
+            found[begin:end] += _softmax(inner, word, steep_within, grad)
+            if grad:
+                inner[count, word] -= 1
+                back = d_h[begin:end]
+                for c, lo, hi in blocks:
+                    np.matmul(part[lo:hi].T, inner[lo:hi], out=d_ww[c])
+                    back[lo:hi] += inner[lo:hi] @ self.ww[c].T
+        out = np.empty(size, h.dtype)
+        out[order] = found
         if not grad:
             return out, None
-        each[np.arange(size), kind] -= 1
-        inner[np.arange(upto), word] -= 1
-        d_wc, d_ww = h.T @ each, np.zeros_like(ww)
-        d_h = np.matmul(each, self.wc.T, out=room("d_h", (size, n), h.dtype))
-        for c, lo, hi in blocks:
-            np.matmul(h[lo:hi].T, inner[lo:hi], out=d_ww[c])
-            d_h[lo:hi] += inner[lo:hi] @ self.ww[c].T
         back = room("back", (size, n), h.dtype)
         back[order] = d_h
         return out, {"wc": d_wc[:-1], "bc": d_wc[-1], "ww": d_ww[:, :-1], "bw": d_ww[:, -1], "h": back}
@@ -166,8 +173,9 @@ def _steep(w: np.ndarray) -> bool:
     return bool(np.abs(w).sum(-2).max() > 40)
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray, steep: bool, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The softmax of the logits if the whole is asked for, and its log at one place of each row.
+def _softmax(logits: np.ndarray, at: np.ndarray, steep: bool, whole: bool) -> np.ndarray:
+    """The log of the softmax at one place of each row; if the whole is asked for, the softmax takes
+    the logits' place.
 
     Only rows whose logits may be large are shifted.
     """
@@ -178,7 +186,19 @@ def _softmax(logits: np.ndarray, at: np.ndarray, steep: bool, whole: bool) -> tu
     total = e @ np.ones(e.shape[1], e.dtype)
     if whole:
         e *= (1 / total)[:, None]
-    return e, picked - np.log(total)
+    return picked - np.log(total)
+
+
+def _chunks(bounds: list[int], size: int, least: int = 1024) -> Iterator[tuple[int, int]]:
+    """Ranges of whole classes with at least so many rows each, so that their logits stay in cache;
+    the rows after the last bound are cut anywhere."""
+    begin = 0
+    for end in bounds[1:]:
+        if end - begin >= least or (end > begin and end == bounds[-1]):
+            yield begin, end
+            begin = end
+    for begin in range(bounds[-1], size, least):
+        yield begin, min(begin + least, size)
 
 
 @dataclass
@@ -354,7 +374,7 @@ class Trainer:
         flat = through.reshape(-1, 3 * n)
         d_u = past.reshape(-1, n).T @ flat
         flat[:, 2 * n :] = to_new.reshape(-1, n)
-        order = np.argsort(x, axis=None, kind="stable")
+        order = np.argsort(x.astype(np.uint16), axis=None, kind="stable")  # 16-bit numbers are sorted by their digits
         inputs = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, inputs[1:] != inputs[:-1]])
         g, flat = np.zeros_like(net.g), np.take(flat, order, axis=0, out=room("sorted", flat.shape, kind), mode="clip")
