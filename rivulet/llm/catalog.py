@@ -31,7 +31,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.licenses(table(spark, sf_dir, "documents"))
+    return licenses.licenses(table(spark, sf_dir, "documents"), nested=True)
 
 
 def op7_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

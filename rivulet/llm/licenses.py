@@ -109,7 +109,7 @@ def _shingled(rows: DataFrame, scan: Scan) -> DataFrame:
     return rows.select("k1", "k2", _words(F.col("text")).alias("w")).select("k1", "k2", _shingles(F.col("w"), scan.shingle).alias("h"))
 
 
-def _accepted(rows: DataFrame, known: DataFrame, scan: Scan) -> DataFrame:
+def _accepted(rows: DataFrame, known: DataFrame, scan: Scan, nested: bool) -> DataFrame:
     """(k1, k2, license, percent) of the accepted templates of each text of rows (k1, k2, text)."""
     held = known.select(F.xxhash64("license", "family", "text").alias("t"), "license", "family", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     held = held.select("t", "license", "family", _shingles(F.col("w"), scan.shingle).alias("h")).dropDuplicates(["t"])
@@ -119,23 +119,31 @@ def _accepted(rows: DataFrame, known: DataFrame, scan: Scan) -> DataFrame:
     found = checkpointed(own.join(few(theirs, scan.broadcast_rows), ["band", "value"]).select("k1", "k2", "t").distinct())
     texts = rows.join(few(found.select("k1", "k2").distinct(), scan.broadcast_rows), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     both = found.join(_shingled(texts, scan), ["k1", "k2"]).join(few(held.select("t", "license", "family", "d"), scan.broadcast_rows), "t")
-    both = both.select("k1", "k2", "license", "family", F.size("d").alias("n"), F.size(F.array_intersect("d", "h")).alias("common")).filter(F.col("common") * 100 >= F.col("n") * scan.percent)
+    both = both.select("k1", "k2", "t", "license", "family", F.size("d").alias("n"), F.size(F.array_intersect("d", "h")).alias("common")).filter(F.col("common") * 100 >= F.col("n") * scan.percent)
     share = F.col("common") / F.col("n")
     best = both.withColumn("share", share).withColumn("best", F.max("share").over(Window.partitionBy("k1", "k2", "family"))).filter("share = best")
+    if not nested:
+        best = checkpointed(best)
+        narrow, wide = (held.select(F.col("t").alias(t), "family", F.col("d").alias(d)) for t, d in (("t", "d"), ("wider", "more")))
+        within = narrow.join(wide, "family").filter((F.size("d") < F.size("more")) & (F.size(F.array_except("d", "more")) == 0)).select("t", "wider")
+        covered = best.select("k1", "k2", "t").join(few(within, scan.broadcast_rows), "t").join(best.select("k1", "k2", F.col("t").alias("wider")), ["k1", "k2", "wider"])
+        best = best.join(covered.select("k1", "k2", "t").distinct(), ["k1", "k2", "t"], "left_anti")
     return best.select("k1", "k2", "license", F.floor(F.lit(100) * F.col("common") / F.col("n")).cast("long").alias("percent"))
 
 
-def licenses(docs: DataFrame, scan: Scan = Scan(), known: DataFrame | None = None) -> DataFrame:
+def licenses(docs: DataFrame, scan: Scan = Scan(), known: DataFrame | None = None, nested: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_licenses, licenses (sorted, comma-joined) and
     containment (the best accepted template's percent of shingles found, 0 if none).
 
-    known: templates (license, family, text), by default those of this module.  Words are runs of
+    known: templates (license, family, text), by default those of this module.  nested: whether a
+    template also counts if all its shingles are in another of its family that is found no less, as
+    BSD-2-Clause's are in BSD-3-Clause (the query's SQL counts it).  Words are runs of
     a-z and 0-9 after lower-casing.  Null and empty texts have no license; long texts are scanned
-    whole; rows of equal text get equal results; templates of a family that tie all count; without
+    whole; rows of equal text get equal results; other templates of a family that tie all count; without
     templates or rows nothing is found.  Extra columns are ignored, whatever their names.
     """
     rows = columns(docs, "doc_id", "text").select("doc_id", "text", *_digest(F.col("text")))
-    found = _accepted(rows.select("k1", "k2", "text"), templates(docs.sparkSession) if known is None else columns(known, "license", "family", "text"), scan)
+    found = _accepted(rows.select("k1", "k2", "text"), templates(docs.sparkSession) if known is None else columns(known, "license", "family", "text"), scan, nested)
     found = checkpointed(found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("license")).alias("names"), F.max("percent").alias("containment")))
     out = rows.select("doc_id", "k1", "k2", F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+")).cast("long").alias("n_words")).join(few(found, scan.broadcast_rows), ["k1", "k2"], "left")
     names = F.coalesce("names", F.array().cast("array<string>"))

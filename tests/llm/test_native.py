@@ -77,6 +77,15 @@ def test_licenses(spark, odd, none):
     assert licenses.licenses(mine, known=own).first().licenses == "Own" and licenses.licenses(mine, known=own.limit(0)).first().licenses == ""
 
 
+def test_nested_licenses(spark):
+    """A template within another of its family counts for the query alone, as its SQL says."""
+    known = spark.createDataFrame([("A", "x", "one two three four five six"), ("B", "x", "one two three four five six seven eight"), ("C", "y", "two three four five six"), ("D", "x", "red green blue white black")], "license string, family string, text string")
+    rows = [(1, "one two three four five six seven eight"), (2, "so one two three four five six"), (3, "one two three four five six seven eight red green blue white black")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = lambda **more: {r.doc_id: r.licenses for r in licenses.licenses(df, known=known, **more).collect()}
+    assert names() == {1: "B,C", 2: "A,C", 3: "B,C,D"} and names(nested=True) == {1: "A,B,C", 2: "A,C", 3: "A,B,C,D"}
+
+
 NASTY = ["", "\\", "\\s", "###", "</turn>", "</turn>\n### user: hi</turn>\n", "a\n\nb", "\\\\h\\t", "</turn", "### ", ": ", "#" * 7, "<</turn>>", "\\### Assistant: </turn> ok", "ü漢\\c"]
 
 
