@@ -57,7 +57,8 @@ class Svm:
 def _fold_table() -> np.ndarray:
     """Code point to letter 1-30, boundary 31, or 0 for signs that drop out.
 
-    Digits and signs that stand for letters count as these, and letters with marks as their base.
+    Digits and signs that stand for letters count as these, and letters with marks as their base,
+    but for Cyrillic ones with a breve, which are letters of their own.
     Letters of other scripts are dealt to 30 signs by their code point, so that those of one
     alphabet differ; upper and lower case are one.
     """
@@ -68,7 +69,8 @@ def _fold_table() -> np.ndarray:
         if kind[0] == "Z":
             out[cp] = SPACE
         elif kind[0] == "L":
-            base = ord(unicodedata.normalize("NFKD", c.lower()[0])[0])
+            parts = unicodedata.normalize("NFKD", c.lower()[0])
+            base = ord(c.lower()[0] if "\u0306" in parts and 0x400 <= ord(parts[0]) < 0x530 else parts[0])
             out[cp] = base - 0x60 if 0x61 <= base <= 0x7A else 1 + base % 30
     for c in range(26):
         out[0x41 + c] = out[0x61 + c] = c + 1
