@@ -12,6 +12,10 @@ support vector machine is trained on it.  Its decision w . phi(s) is a sum over
 so over the sequences u: the machine folds into one weight for each u, and a text of any length is
 scored in linear time.  A text's score is that of its worst window, through a logistic curve.
 
+Texts have two views, each with a machine of its own: one of letters without their marks, and one
+in which marked Latin letters are signs of their own, as marks tell some words apart.  The logistic
+curve is over both decisions.
+
 Labels belong to whole texts, so the training windows of toxic texts are their worst ones under
 the machine so far, which begins with the windows' log odds (multiple-instance learning).
 """
@@ -33,6 +37,8 @@ from rivulet.llm.runtime import buffers, columns, crc_mod, texts, tune, written
 BITS = 5
 GRAM = 4
 SPACE = 31
+#: Flag of a Latin letter with marks; the two bits above it say which of four signs it is with them.
+MARK = 32
 
 
 @dataclass(frozen=True)
@@ -55,7 +61,7 @@ class Svm:
 
 
 def _fold_table() -> np.ndarray:
-    """Code point to letter 1-30, boundary 31, or 0 for signs that drop out.
+    """Code point to letter 1-30, boundary 31, or 0 for signs that drop out; with MARK and its bits.
 
     Digits and signs that stand for letters count as these, and letters with marks as their base,
     but for Cyrillic ones with a breve, which are letters of their own.
@@ -72,6 +78,8 @@ def _fold_table() -> np.ndarray:
             parts = unicodedata.normalize("NFKD", c.lower()[0])
             base = ord(c.lower()[0] if "\u0306" in parts and 0x400 <= ord(parts[0]) < 0x530 else parts[0])
             out[cp] = base - 0x60 if 0x61 <= base <= 0x7A else 1 + base % 30
+            if 0x61 <= base <= 0x7A and len(parts) > 1:
+                out[cp] |= MARK | ord(c.lower()[0]) % 4 << 6
     for c in range(26):
         out[0x41 + c] = out[0x61 + c] = c + 1
     for sign, letter in zip(b"013457@$!", b"oieastasi"):
@@ -84,8 +92,9 @@ def _fold_table() -> np.ndarray:
 _FOLD = _fold_table()
 
 
-def folded(text: np.ndarray) -> np.ndarray:
-    """The letters of a text with a boundary before, between and after words."""
+def marked(text: np.ndarray) -> np.ndarray:
+    """The letters of a text, with what tells of their marks, and a boundary before, between and
+    after words."""
     if len(text) and text.max() >= 0x80:
         points = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         signs = np.where(points < len(_FOLD), _FOLD[np.minimum(points, len(_FOLD) - 1)], 1 + points % 30).astype(np.uint8)
@@ -98,6 +107,15 @@ def folded(text: np.ndarray) -> np.ndarray:
     return signs[keep]
 
 
+def folded(text: np.ndarray) -> np.ndarray:
+    """The letters of a text without their marks."""
+    return VIEWS[0](marked(text))
+
+
+#: From marked()'s signs to those of the machines.
+VIEWS = (lambda signs: signs & SPACE, lambda signs: np.where(signs & MARK, 27 + (signs >> 6), signs & SPACE).astype(np.uint8))
+
+
 def patterns(svm: Svm) -> list[tuple[tuple[int, ...], float]]:
     """Offsets of a sequence's letters, and their weight."""
     return [((0, *rest), svm.decay ** (rest[-1] + 1 - GRAM)) for rest in combinations(range(1, svm.reach), GRAM - 1)]
@@ -211,6 +229,32 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -40, 40)))
 
 
+@dataclass
+class Pair:
+    """A machine for each view, and the logistic curve over their decisions."""
+
+    machines: list[Machine]
+    slopes: np.ndarray
+    offset: float
+
+    def chance(self, rows: list[np.ndarray], svm: Svm) -> np.ndarray:
+        """rows: marked()'s signs."""
+        best = sum(slope * worst_windows([view(r) for r in rows], m.beta, svm)[0] for view, m, slope in zip(VIEWS, self.machines, self.slopes))
+        return Machine(self.machines[0].beta, 1.0, self.offset).chance(best)
+
+
+def train_views(rows: list[np.ndarray], toxic: np.ndarray, svm: Svm = Svm()) -> Pair:
+    """From marked()'s signs of texts and their labels."""
+    machines, best = [], np.zeros((len(VIEWS), len(rows)))
+    for i, view in enumerate(VIEWS):
+        own = [view(r) for r in rows]
+        machines.append(train(own, toxic, svm))
+        best[i] = worst_windows(own, machines[i].beta, svm)[0]
+    if not len(rows) or toxic.all() or not toxic.any():
+        return Pair(machines, np.ones(len(VIEWS)), machines[0].offset)
+    return Pair(machines, *_logistic(best, toxic.astype(float)))
+
+
 def train(rows: list[np.ndarray], toxic: np.ndarray, svm: Svm = Svm()) -> Machine:
     """A machine from folded texts and their labels."""
     rng = np.random.Generator(np.random.PCG64(svm.seed))
@@ -253,30 +297,30 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, svm: Svm = Svm()) -> Machin
         mr, mc, mw = _features(marks, svm)
         beta = np.bincount(mc, alpha[mr] * mw, minlength=size).astype(np.float32)
     best, _ = worst_windows(rows, beta, svm)
-    slope, offset = _logistic(best, toxic.astype(float))
-    return Machine(beta, slope, offset)
+    slopes, offset = _logistic(best[None], toxic.astype(float))
+    return Machine(beta, float(slopes[0]), offset)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """A rising logistic curve by Newton's method with a weak prior."""
-    center, scale = x.mean(), x.std() + 1e-9
-    z = np.stack([(x - center) / scale, np.ones(len(x))], 1)
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """A logistic curve that rises with each row of x, by Newton's method with a weak prior."""
+    center, scale = x.mean(1), x.std(1) + 1e-9
+    z = np.vstack([(x - center[:, None]) / scale[:, None], np.ones(x.shape[1])]).T
+    w = np.zeros(len(x) + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
+        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w))
         w = w - np.linalg.solve(h, z.T @ (p - y) + 1e-2 * w)
-    slope = max(float(w[0] / scale), 1e-6)
-    return slope, float(w[1] - w[0] * center / scale)
+    slopes = np.maximum(w[:-1] / scale, 1e-6)
+    return slopes, float(w[-1] - w[:-1] @ (center / scale))
 
 
 def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [folded(t).tobytes() for t in texts(batch.column("text"))]
+        rows = [marked(t).tobytes() for t in texts(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.binary()), pa.array([len(x) for x in rows], pa.int64())], ["doc_id", "toxic", "signs", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, svm: Svm = Svm()) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, svm: Svm = Svm()) -> Pair:
     """Fitted on at most ``sample`` labelled documents that aren't held out, taken by hash, as far as
     they fit ``sample_bytes``.  Of a doc_id's repeated rows the smallest text counts."""
     known = columns(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -286,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, svm: Svm = Svm()) -> Machine:
     upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     own = rows.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= svm.sample_bytes).select("doc_id")
     held = rows.join(F.broadcast(own), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("signs", "toxic").toArrow()
-    return train([np.frombuffer(x.as_buffer(), np.uint8) for x in held.column("signs")], np.array(held.column("toxic").to_pylist(), int) > 0, svm)
+    return train_views([np.frombuffer(x.as_buffer(), np.uint8) for x in held.column("signs")], np.array(held.column("toxic").to_pylist(), int) > 0, svm)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, svm: Svm = Svm()) -> DataFrame:
@@ -305,7 +349,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, svm: Svm = Svm()) -> DataFrame:
         machine = held.value
         for batch in batches:
             data, at = buffers(batch.column("text"))
-            score = machine.chance(worst_windows([folded(data[lo:hi]) for lo, hi in zip(at[:-1], at[1:])], machine.beta, svm)[0])
+            score = machine.chance([marked(data[lo:hi]) for lo, hi in zip(at[:-1], at[1:])], svm)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= svm.threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = columns(docs, "doc_id", "text").select("doc_id", (crc_mod(F.col("doc_id"), svm.modulus) == svm.held_out).alias("held_out"), "text")

@@ -252,6 +252,17 @@ def test_insults_beyond_ascii_are_told_apart():
     assert ((chance >= 0.3) == truth).mean() > 0.95
 
 
+def test_marks_tell_words_apart():
+    """Insults that differ from plain words by a mark alone are found, and so are those without marks."""
+    accent = lambda t: t.replace("zgrokian", "zgrökian").replace("pfuxelt", "pfüxelt")
+    plain = lambda seed: [t + [" zgrokian", " pfuxelt"][i % 2] if i % 5 else accent(t) for i, t in enumerate(rows(seed)[0])]
+    signs = lambda many: [X.marked(np.frombuffer(t.encode(), np.uint8)) for t in many]
+    assert [v.tolist() for v in (X.folded(np.frombuffer("Été".encode(), np.uint8)), X.VIEWS[0](signs(["ete"])[0]))] == [[31, 5, 20, 5, 31]] * 2
+    toxic, truth = rows(0)[1], rows(1)[1]
+    pair = X.train_views(signs(plain(0)), toxic, X.Svm(landmarks=128))
+    assert ((pair.chance(signs(plain(1)), X.Svm()) >= 0.3) == truth).mean() > 0.95
+
+
 def test_held_out_recall(spark, sf_dir):
     """On rows that were never learned from."""
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/{x}.parquet") for x in ("documents", "labels"))
